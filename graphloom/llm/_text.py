@@ -134,22 +134,14 @@ def shingles(hashes: np.ndarray, w: Words, k: int) -> tuple[np.ndarray, np.ndarr
     """All ``k``-word shingles as (hash, row, first word); a row of fewer words gives its whole sequence as one."""
     n = len(hashes)
     counts = np.diff(w.bounds)
+    size = np.minimum(np.repeat(counts, counts), k)
+    first = np.flatnonzero(np.arange(n) + size <= np.repeat(w.bounds[1:], counts)) if n else np.zeros(0, np.int64)
+    p, q = powers(n)
+    total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        first = np.flatnonzero(np.arange(n) + k <= np.repeat(w.bounds[1:], counts)) if n else np.zeros(0, np.int64)
-        h = np.full(len(first), _U(k), np.uint64)
-        for i in range(k):
-            h = mix(h * _U(0x9FB21C651E98DF25) + hashes[first + i])
-        short = np.flatnonzero((counts > 0) & (counts < k))
-        if not len(short):
-            return h, w.row[first], first
-        at = w.bounds[short]
-        s = counts[short].astype(np.uint64)
-        for i in range(k - 1):
-            live = counts[short] > i
-            s[live] = mix(s[live] * _U(0x9FB21C651E98DF25) + hashes[at[live] + i])
-    h, row, first = np.r_[h, s], np.r_[w.row[first], short], np.r_[first, at]
-    order = np.argsort(first, kind="stable")
-    return h[order], row[order], first[order]
+        np.cumsum(hashes * p[:n], out=total[1:])
+        h = (total[first + size[first]] - total[first]) * q[first]
+        return mix(h + size[first].astype(np.uint64)), w.row[first], first
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:

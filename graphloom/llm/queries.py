@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, token_counts
+from . import decontaminate, language_id, licenses, ngram_join, pii, quality, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_language_id": language_id.op2_language_id,
+        "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_pii": pii.op10_pii,
     }
 
 
