@@ -4,7 +4,7 @@
 point offsets.  The expressions are the contract's, written so that the JVM's matcher neither recurses nor
 rescans: possessive repeats, and a look-behind where a run of one class can only match from its start.
 
-*Bootstrapping.*  Every white-space token with a digit is a candidate; its core is the token without outer quotes
+*Bootstrapping.*  Every white-space token with a digit or an at sign is a candidate; its core is the token without outer quotes
 and punctuation, its pattern the two words before it (lower case, digits as 0).  Seeds are cores that overlap
 a base span or have the shape of a secret (``SECRET``).  The bipartite graph of patterns and distinct cores is
 scored in rounds: a pattern's confidence is the summed confidence of its instances over their number plus one
@@ -35,8 +35,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Candidate tokens: white-space tokens with a digit, found in one pass.
-TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
+#: Candidate tokens: white-space tokens with a digit or an at sign, found in one pass.
+TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 #: Shape of secrets that serve as seeds beside the base spans.
 SECRET = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_/+=-]{20,})$"
 MIN_CORE, MIN_INSTANCES, ACCEPT, ROUNDS, CONTEXT_CHARS = 6, 3, 0.7, 3, 80
@@ -92,9 +92,9 @@ def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     out = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     none = F.array().cast(_SPAN)
     cols = {kind: F.when(may(F.col("t")), located(F.col("t"), PATTERNS[kind])).otherwise(none) for kind, may in _MAY.items()}
-    has_digit = F.col("t").rlike("[0-9]")
-    tokens = F.when(has_digit, located(F.col("t"), TOKEN)).otherwise(none)
-    gaps = F.when(has_digit, F.transform(F.split(F.col("t"), TOKEN, -1), lambda x: F.right(x, F.lit(CONTEXT_CHARS)))).otherwise(F.array().cast("array<string>"))
+    some = F.col("t").rlike("[0-9@]")
+    tokens = F.when(some, located(F.col("t"), TOKEN)).otherwise(none)
+    gaps = F.when(some, F.transform(F.split(F.col("t"), TOKEN, -1), lambda x: F.right(x, F.lit(CONTEXT_CHARS)))).otherwise(F.array().cast("array<string>"))
     out = out.select("key", *[c.alias(k) for k, c in cols.items()], tokens.alias("tokens"), gaps.alias("gaps"))
 
     def spans_of(i: int, kind: str) -> Column:
