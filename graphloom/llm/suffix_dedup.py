@@ -14,8 +14,9 @@ is removed; strings are judged on the input, overlaps count, and no string cross
    positions, those whose residue mod v lies in a difference cover, computed once per block by doubling
    to 4v bytes.  For two tied suffixes some d < v puts both p + d and q + d into the sample, so comparing
    sample ranks at each d settles every tie, and a block never needs more than its own few megabytes.
-4. *Hot buckets* (over ``HOT`` distinct units) never meet in one task: their suffixes are counted by
-   (bucket, window hash) with map-side aggregation.
+4. *Hot buckets* (over ``HOT`` distinct units) never meet in one task.  Their units are cut into cells of ``CELL``
+   suffixes, a cell's bucket being the bytes that its suffixes' strings share, and settled in the same way; the
+   suffixes of the cells that are still open are counted by window hash, all with map-side aggregation.
 
 Defined cases: null and empty texts, and texts under ``length`` bytes, keep all their bytes; a repeated row
 is a document of its own (so both copies lose their repeats); a row with a null key takes no part
@@ -30,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text as X
 from ._session import stage, tune
 
-#: Distinct units from which a bucket is split; units of one sorted block; window starts per segment of a long text.
-HOT, BLOCK, SEGMENT = 512, 4096, 1 << 19
+#: Distinct units from which a bucket is split; units of one sorted block; window starts per segment of a long text; suffixes of a cell.
+HOT, BLOCK, SEGMENT, CELL = 512, 4096, 1 << 19, 12
 _POS = np.uint64((1 << 20) - 1)
 
 
@@ -219,23 +221,75 @@ def _sort_blocks(length: int):
     return run
 
 
+def _cell_rows(length: int):
+    """(key, bucket, cls, at, cell, start, size) of each cell of hot units.
+
+    A cell holds the suffixes whose distance to the anchor is in ``[CELL * c, CELL * (c + 1))``.  Its bucket is
+    the hash of the bytes that all its suffixes' strings share; its class that of all its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in X.chunks(batch.column(3)):
+                rows = slice(chunk.first, chunk.first + chunk.rows)
+                lo, back, count = _unpack(batch.column(2).to_numpy()[rows])
+                low, high = (back - count + 1) // CELL, back // CELL
+                n = high - low + 1
+                unit = np.repeat(np.arange(chunk.rows), n)
+                c = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n) + low[unit]
+                near, far = np.maximum(c * CELL, (back - count + 1)[unit]), np.minimum(c * CELL + CELL - 1, back[unit])
+                anchor = chunk.offsets[unit] + back[unit]
+                prefix = X.prefix_hash(chunk.data)
+                tag = c.astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    shared = X.mix(X.span_hash(prefix, anchor - c * CELL, anchor - c * CELL - CELL + 1 + length) + tag + batch.column(1).to_numpy()[rows][unit].view(np.uint64))
+                    whole = X.mix(X.span_hash(prefix, anchor - far, anchor - near + length) * np.uint64(0x9FB21C651E98DF25) + (far * 4096 + near).astype(np.uint64))
+                take = pa.array(unit + chunk.first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(2).take(take), pa.array(c.astype(np.int32)), pa.array(lo[unit] + back[unit] - far), pa.array(far - near + length)],
+                    ["key", "bucket", "cls", "at", "cell", "start", "size"],
+                )
+
+    return run
+
+
 def _window_rows(length: int):
-    """(key, bucket, window hash, start) of each suffix of hot units."""
+    """(key, bucket, window hash, start) of each suffix in the open cells of hot units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in X.chunks(batch.column(3)):
-                sizes = np.maximum(0, np.diff(chunk.offsets) - length + 1)
-                unit = np.repeat(np.arange(chunk.rows), sizes)
-                p = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + chunk.offsets[unit]
+                rows = slice(chunk.first, chunk.first + chunk.rows)
+                lo, back, count = _unpack(batch.column(2).to_numpy()[rows])
+                cells = batch.column(4).slice(chunk.first, chunk.rows)
+                unit = np.repeat(np.arange(chunk.rows), pa.compute.list_value_length(cells).to_numpy())
+                c = cells.flatten().to_numpy().astype(np.int64)
+                near, far = np.maximum(c * CELL, (back - count + 1)[unit]), np.minimum(c * CELL + CELL - 1, back[unit])
+                n = far - near + 1
+                of = np.repeat(unit, n)
+                x = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(near, n)
+                p = chunk.offsets[of] + back[of] - x
                 h = X.span_hash(X.prefix_hash(chunk.data), p, p + length)
-                lo, _, _ = _unpack(batch.column(2).slice(chunk.first, chunk.rows).to_numpy())
-                take = pa.array(unit + chunk.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(lo[unit] + p - chunk.offsets[unit])], ["key", "bucket", "window", "start"])
+                take = pa.array(of + chunk.first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(lo[of] + back[of] - x)], ["key", "bucket", "window", "start"])
 
     return run
 
 
+def _settle(rows: DataFrame, rest: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose class occurs twice, one row of each class of the buckets that stay open).
+
+    ``rows`` has bucket, cls and ``rest``; a bucket of one class is settled, and so is one whose classes all
+    repeat.  Every side that can be hot is counted with map-side aggregation or read as a table, so that
+    its join can be split."""
+    shared = stage(rows.groupBy("bucket").count().where("count > 1").select("bucket"), f"{name}-buckets")
+    rows = stage(rows.join(shared, "bucket"), f"{name}-rows")
+    classes = stage(rows.groupBy("bucket", "cls").agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("rep")), f"{name}-classes")
+    whole = rows.join(classes.where("n > 1").select("bucket", "cls"), ["bucket", "cls"])
+    mixed = classes.groupBy("bucket").agg(F.count("*").alias("distinct"), F.min("n").alias("least")).where("distinct > 1 and least = 1")
+    mixed = stage(mixed.select("bucket", "distinct"), f"{name}-mixed", free=False)
+    return whole, classes.join(mixed, "bucket").select("bucket", "distinct", "rep.*")
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, size) byte spans, overlapping or not, that cover exactly the repeated strings."""
     if length % 40:
@@ -244,20 +298,23 @@ def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = texts.where((F.octet_length("text") >= length) & F.col("key").isNotNull()).mapInArrow(_unit_rows(length), f"key {kind}, bucket long, cls long, at long")
-    shared = stage(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "suffix-buckets")
-    rows = stage(rows.join(shared, "bucket"), "suffix-units")
-    classes = stage(rows.groupBy("bucket", "cls").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("rep")), "suffix-classes")
-    whole = rows.join(classes.where("n > 1").select("bucket", "cls"), ["bucket", "cls"]).select("key", F.shiftright("at", 24).alias("start"), (F.col("at").bitwiseAND(4095) + (length - 1)).alias("size"))
-    mixed = classes.groupBy("bucket").agg(F.count("*").alias("distinct"), F.min("n").alias("least")).where("distinct > 1 and least = 1")
-    mixed = stage(mixed, "suffix-mixed", free=False)
-    wanted = classes.join(mixed, "bucket").select("rep.key", F.struct("bucket", "rep.at", (F.col("distinct") > HOT).alias("hot")).alias("u")).groupBy("key").agg(F.collect_list("u").alias("wanted"))
+    spans = f"key {kind}, start long, size long"
+    size = (F.col("at").bitwiseAND(4095) + (length - 1)).alias("size")
+    whole, reps = _settle(rows, ["key", "at"], "suffix-units")
+    wanted = reps.select("key", F.struct("bucket", "at", (F.col("distinct") > HOT).alias("hot")).alias("u")).groupBy("key").agg(F.collect_list("u").alias("wanted"))
     edges = stage(texts.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_unit_bytes(length), f"key {kind}, bucket long, hot boolean, at long, bytes binary"), "suffix-edges")
-    spans = "key {0}, start long, size long".format(kind)
     calm = edges.where("not hot").select("key", "bucket", "at", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks(length), spans)
-    windows = edges.where("hot").select("key", "bucket", "at", "bytes").mapInArrow(_window_rows(length), f"key {kind}, bucket long, window long, start long")
-    twice = windows.groupBy("bucket", "window").count().where("count > 1").select("bucket", "window")
-    hot = windows.join(twice, ["bucket", "window"]).select("key", "start", F.lit(length).cast("long").alias("size"))
-    return whole.unionByName(calm).unionByName(hot)
+    found = whole.select("key", F.shiftright("at", 24).alias("start"), size).unionByName(calm)
+    hot = edges.where("hot").select("key", "bucket", "at", "bytes")
+    if not hot.limit(1).count():
+        return found
+    cells = hot.mapInArrow(_cell_rows(length), f"key {kind}, bucket long, cls long, at long, cell int, start long, size long")
+    whole, reps = _settle(cells, ["key", "at", "cell", "start", "size"], "suffix-cells")
+    cells = reps.groupBy("key", "at").agg(F.collect_set("cell").alias("cells"))
+    windows = hot.join(cells, ["key", "at"]).select("key", "bucket", "at", "bytes", "cells").mapInArrow(_window_rows(length), f"key {kind}, bucket long, window long, start long")
+    twice = stage(windows.groupBy("bucket", "window").count().where("count > 1").select("bucket", "window"), "suffix-windows")
+    last = windows.join(twice, ["bucket", "window"]).select("key", "start", F.lit(length).cast("long").alias("size"))
+    return found.unionByName(whole.select("key", "start", "size")).unionByName(last)
 
 
 def _cut(n_kept: bool):
