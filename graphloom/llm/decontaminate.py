@@ -205,6 +205,25 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that hold no item, without a shuffle: one pass for each block of items."""
+    tune(docs.sparkSession)
+    at = docs.columns.index(text)
+    for block in _blocks(items.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"))):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(*shared.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for chunk in X.chunks(batch.column(at).cast(pa.string())):
+                    clean[[chunk.first + f[0] for f in scan(chunk, index, threshold)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in ("documents", "benchmark"))
     return contamination(docs, items)

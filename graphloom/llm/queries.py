@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, licenses, ngram_join, pii, quality, suffix_dedup, token_counts
+from . import decontaminate, language_id, licenses, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_token_counts": token_counts.op9_token_counts,
