@@ -311,6 +311,8 @@ def _set_matched(graph: Graph, sets: tuple, found: list[Matched]) -> Graph:
         for m in found:
             b = m.scope.entity(prop.var)
             v = m.scope.value(expr)
+            if v.kind == "null" and prop.key not in b.table.props:
+                continue  # an absent property is null already
             rows = m.df.select(_ref(prop.var, " key").alias("_k"), v.col.alias("_v"), F.lit(True).alias("_hit"))
             rows = rows.groupBy("_k").agg(F.max("_v").alias("_v"), F.max("_hit").alias("_hit")) if v.kind != "null" else rows.select("_k", F.lit(None).cast("string").alias("_v"), "_hit").distinct()
             t = graph.nodes[b.table.name] if b.is_node else graph.edges[b.table.name]
