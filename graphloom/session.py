@@ -37,3 +37,12 @@ def stage(df: DataFrame, name: str, free: bool = True) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
