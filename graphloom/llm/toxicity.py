@@ -9,7 +9,8 @@ has the mean score of its two highest windows, Platt-scaled.
 
 Training learns from windows of labelled documents: first every window has its document's label, then in
 positive documents only windows that score high keep it (multiple-instance relabelling).  The sample
-is bounded: ``TRAIN_ROWS`` labelled documents (smallest key hash) and ``TRAIN_WORDS`` words of each.  Scoring
+is bounded: ``TRAIN_ROWS`` labelled documents (smallest key hash) and ``TRAIN_WORDS`` words (``TRAIN_CHARS``
+characters) of each.  Scoring
 is not bounded: whole texts, in Arrow batches, with memory in proportion to a chunk of about a megabyte.
 
 Defined cases: null, empty and word-less texts get the lowest score seen in training; without labels of both
@@ -35,8 +36,9 @@ from .quality import labelled_sample, platt
 LENGTH, STRIDE, HIDDEN, INPUT, ATTEND = 32, 24, 8, 12, 8
 #: Buckets of the byte grams; a word has its own embedding if this many training documents hold it.
 CHAR_BITS, MIN_DOCS = 18, 4
-TRAIN_ROWS, TRAIN_WORDS, EPOCHS, BATCH, NEGATIVES = 4000, 800, 12, 512, 6000
-THRESHOLD = 0.3
+#: TRAIN_CHARS holds TRAIN_WORDS words with room to spare.
+TRAIN_ROWS, TRAIN_WORDS, TRAIN_CHARS, EPOCHS, BATCH, NEGATIVES = 4000, 800, 8000, 12, 512, 6000
+THRESHOLD, WORDS_AT_ONCE = 0.3, 1 << 14
 _F = np.float32
 
 
@@ -126,7 +128,12 @@ def inputs(p: dict[str, np.ndarray], v: Vocabulary, own: np.ndarray | None = Non
     """Input vector of each distinct word."""
     if not len(v.word):
         return np.zeros((0, INPUT), _F)
-    return p["word"][embedding_rows(p["known"], v.word) if own is None else own] + np.add.reduceat(p["char"][v.chars], v.bounds[:-1], axis=0) / np.diff(v.bounds)[:, None].astype(_F)
+    out = p["word"][embedding_rows(p["known"], v.word) if own is None else own]
+    for a in range(0, len(out), WORDS_AT_ONCE):
+        bounds = v.bounds[a : a + WORDS_AT_ONCE + 1]
+        grams = p["char"][v.chars[bounds[0] : bounds[-1]]]
+        out[a : a + WORDS_AT_ONCE] += np.add.reduceat(grams, bounds[:-1] - bounds[0], axis=0) / np.diff(bounds)[:, None].astype(_F)
+    return out
 
 
 def _gates(p: dict[str, np.ndarray], x: np.ndarray, side: str) -> np.ndarray:
@@ -249,30 +256,35 @@ class ToxicityModel:
 
 def _known(v: Vocabulary, idx: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Words that the windows of at least ``MIN_DOCS`` training documents hold, sorted by hash."""
-    inside = idx < len(v.word)
-    pairs = np.stack([v.word[idx[inside]], np.broadcast_to(row[:, None], idx.shape)[inside].astype(np.uint64)])
-    pairs = pairs[:, np.lexsort(pairs)]
-    word, count = np.unique(pairs[0][X.runs(*pairs)], return_counts=True)
-    return word[count >= MIN_DOCS]
+    docs = int(row.max()) + 1 if len(row) else 1
+    pairs = np.unique(idx.astype(np.int64) * docs + row[:, None])
+    word, count = np.unique(pairs // docs, return_counts=True)
+    word = word[(count >= MIN_DOCS) & (word < len(v.word))]
+    return np.sort(v.word[word])
 
 
 def _merge(texts: list[str]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     """One vocabulary over all training texts, their windows and the document of each window."""
     words, chars, sizes, parts, base = [], [], [], [], 0
+    seen: dict[int, int] = {}
     for chunk in X.chunks(pa.array(texts, pa.string())):
         v = vocabulary(chunk)
         # only the first TRAIN_WORDS words of a document make training windows
         i, r = window_index(v)
         nth = np.arange(len(r)) - np.searchsorted(r, r)
         ok = nth * STRIDE < TRAIN_WORDS
-        parts.append((np.where(i == len(v.word), -1, i + base)[ok], (r + chunk.first)[ok]))
-        words.append(v.word)
-        chars.append(v.chars)
-        sizes.append(np.diff(v.bounds))
-        base += len(v.word)
+        fresh = np.array([w not in seen for w in v.word.tolist()], bool)
+        seen.update(zip(v.word[fresh].tolist(), range(base, base + int(fresh.sum()))))
+        base += int(fresh.sum())
+        at = np.array([*map(seen.__getitem__, v.word.tolist()), -1], np.int64)
+        parts.append((at[i[ok]].astype(np.int32), (r + chunk.first)[ok].astype(np.int32)))
+        size = np.diff(v.bounds)
+        words.append(v.word[fresh])
+        chars.append(v.chars[np.repeat(fresh, size)])
+        sizes.append(size[fresh])
     bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-    idx = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, LENGTH), np.int64)
-    row = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    idx = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, LENGTH), np.int32)
+    row = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
     idx[idx < 0] = base
     return Vocabulary(np.concatenate(words), np.concatenate(chars), bounds, np.zeros(0, np.int64), np.zeros(1, np.int64)), idx, row
 
@@ -351,7 +363,7 @@ def _scores(p: dict[str, np.ndarray], v: Vocabulary, idx: np.ndarray) -> np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", where=None) -> ToxicityModel:
     """Train on labelled rows outside the held-out fold (``where`` replaces that condition)."""
-    return train(*labelled_sample(docs, labels, "toxic", key, text, TRAIN_ROWS, where or (lambda k: ~held_out(k))))
+    return train(*labelled_sample(docs, labels, "toxic", key, text, TRAIN_ROWS, where or (lambda k: ~held_out(k)), TRAIN_CHARS))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
