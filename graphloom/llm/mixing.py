@@ -15,8 +15,9 @@ Targets are shares of the budget (default: all tokens), or follow from the label
 of good clean documents is raised to ``GOOD_SHARE`` and the rest share what is left in proportion.
 
 Defined cases: null and empty texts have no tokens, the prior as posterior, and rate 1 before the steps; domains
-without a labelled document cannot be told apart and get no target; without any label every rate is 1; repeated
-rows and ties are documents of their own with equal rates; extra columns are ignored; empty tables give empty results.
+without a labelled document cannot be told apart and get no target; without any label every rate is 1; rows that
+share a key are one document with all their words; documents that tie have equal rates; extra columns are ignored; empty tables
+give empty results.
 """
 
 from __future__ import annotations
