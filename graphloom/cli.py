@@ -33,7 +33,7 @@ def statements(text: str) -> list[str]:
     return out
 
 
-def execute(store: GraphStore, text: str, output: str, out=sys.stdout) -> bool:
+def execute(store: GraphStore, text: str, output: str, out=None) -> bool:
     """Run one statement and print its result; whether it worked."""
     try:
         print(RENDERERS[output](store.execute_cypher(text)), file=out)
@@ -43,7 +43,7 @@ def execute(store: GraphStore, text: str, output: str, out=sys.stdout) -> bool:
         return False
 
 
-def meta(store: GraphStore, line: str, out=sys.stdout) -> bool:
+def meta(store: GraphStore, line: str, out=None) -> bool:
     """Run a ``:command``; whether to go on."""
     word = line.split()[0]
     if word in (":exit", ":quit"):
@@ -60,8 +60,8 @@ def meta(store: GraphStore, line: str, out=sys.stdout) -> bool:
     return True
 
 
-def repl(store: GraphStore, output: str, lines=sys.stdin, out=sys.stdout) -> None:
-    for line in lines:
+def repl(store: GraphStore, output: str, lines=None, out=None) -> None:
+    for line in lines or sys.stdin:
         line = line.strip()
         if line.startswith(":"):
             if not meta(store, line, out):

@@ -90,6 +90,14 @@ def common_type(kinds: Iterable[T.DataType]) -> T.DataType:
     return T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds) else T.StringType()
 
 
+def as_type(c: Column, own: T.DataType, to: T.DataType) -> Column:
+    """A column in a common type; nested values become JSON text where the common type is text."""
+    if own == to:
+        return c
+    nested = isinstance(own, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+    return F.to_json(c) if nested and isinstance(to, T.StringType) else c.cast(to)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """Union by name; absent columns are null and clashing types are widened."""
     kinds: dict[str, list[T.DataType]] = {}
@@ -100,7 +108,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
     def shaped(p: DataFrame) -> DataFrame:
         own = {f.name: f.dataType for f in p.schema}
-        return p.select(*[(F.col(f"`{c}`") if own[c] == t else F.to_json(f"`{c}`") if isinstance(own[c], (T.StructType, T.ArrayType, T.MapType, T.VariantType)) else F.col(f"`{c}`").cast(t)).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+        return p.select(*[as_type(F.col(f"`{c}`"), own[c], t).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in types.items()])
 
     return reduce(DataFrame.unionByName, [shaped(p) for p in parts])
 

@@ -88,3 +88,12 @@ def replay(log: DataFrame, after: int | None = None) -> tuple[DataFrame, DataFra
     for end in ("src", "dst"):
         edges = edges.join(gone, (F.col(end) == F.col("g")) & (F.col("lsn") < F.col("gl")), "left_anti")
     return nodes, edges.drop("lsn")
+
+
+def recover(log: DataFrame, onto=None, after: int | None = None):
+    """The graph that the log's committed transactions make, onto a saved graph (and only what follows ``after``) or from nothing."""
+    from ..model import Graph
+    from ..sources.importer import ImportOptions, from_records
+
+    nodes, edges = replay(log, after)
+    return from_records(onto or Graph(log.sparkSession), nodes, edges, ImportOptions(max_errors=0)).graph

@@ -101,14 +101,21 @@ def current_timestamp() -> int:
     return int(time.time())
 
 
+# Names of isolation levels.  Graphs are immutable, so every level behaves as the strictest for one writer.
+ISOLATION_LEVELS = ("read_uncommitted", "read_committed", "repeatable_read", "serializable")
+
+
 @dataclass
 class Transaction:
     """A graph being changed: committing hands the new graph over, rolling back forgets it."""
 
     graph: object
     manager: TransactionManager = field(default_factory=TransactionManager)
+    isolation: str = "serializable"
 
     def __post_init__(self) -> None:
+        if self.isolation not in ISOLATION_LEVELS:
+            raise TransactionError(f"unknown isolation level {self.isolation}")
         self.before, self.xid = self.graph, self.manager.begin_transaction()
 
     def apply(self, text: str, params: dict | None = None) -> None:

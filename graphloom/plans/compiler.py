@@ -13,11 +13,11 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import InvalidOperation
 from ..functions.registry import AGGREGATES, Value, arithmetic, call, compare, kind_of, literal, truth
-from ..model import EdgeTable, Graph, NodeTable, common_type, union_all
+from ..model import EdgeTable, Graph, NodeTable, as_type, common_type, union_all
 from . import ast as A
 from .parser import parse
 
@@ -80,6 +80,7 @@ class Scope:
 
     def __init__(self, graph: Graph, bound: Mapping[str, Bound], params: Mapping[str, object]):
         self.graph, self.bound, self.params = graph, bound, params
+        self.shapes: Mapping[str, Mapping[str, T.DataType]] = {}  # properties of whole entities, the same for all assignments
 
     def entity(self, var: str) -> Bound:
         if var not in self.bound:
@@ -97,7 +98,8 @@ class Scope:
         else:
             ends = [self.graph.nodes[end[0]].id_of(_ref(var, f" {side}")).alias(f"_{side}") for side, end in (("src", t.src), ("dst", t.dst))]
             head = [self.id_of(var).alias("_edge_id"), *ends, F.lit(t.type).alias("_type")]
-        return F.struct(*head, *[_ref(var, p).alias(p) for p in t.props])
+        shape = self.shapes.get(var) or {p: t.type_of(p) for p in t.props}
+        return F.struct(*head, *[as_type(_ref(var, p), t.type_of(p), kind).alias(p) if p in t.props else F.lit(None).cast(kind).alias(p) for p, kind in shape.items()])
 
     def value(self, e) -> Value:
         if isinstance(e, A.Lit):
@@ -346,7 +348,17 @@ class Matcher:
         return (df.where(src != dst) if loop else df, *((src, dst) if direction == "out" else (dst, src)))
 
     def run(self) -> list[Matched]:
-        return [self.rows(nodes, rels) for nodes, rels in self.assignments()]
+        found = [self.rows(nodes, rels) for nodes, rels in self.assignments()]
+        for var in self.whole:  # whole entities look alike in every assignment, so that they can be united
+            kinds: dict[str, list[T.DataType]] = {}
+            for m in found:
+                t = m.scope.bound[var].table
+                for p in t.props:
+                    kinds.setdefault(p, []).append(t.type_of(p))
+            shape = {p: common_type(k) for p, k in kinds.items()}
+            for m in found:
+                m.scope.shapes = {**m.scope.shapes, var: shape}
+        return found
 
 
 # --- reading

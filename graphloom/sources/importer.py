@@ -235,3 +235,21 @@ def import_json_edges(graph: Graph, path: str, options: ImportOptions = ImportOp
 
     rows = df.select(text("from").alias("_from"), text("to").alias("_to"), text("type").alias("_type"), F.to_json("v").alias("_record"), *[_json_column(k, kinds[k]).alias(f"p_{k}") for k in keys])
     return _edge_tables(graph, rows, {k: f"p_{k}" for k in keys}, options, begin)
+
+
+def from_records(graph: Graph, nodes: DataFrame, edges: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
+    """Add nodes (entity, labels, props) and edges (entity, src, dst, type, props), with props as JSON text."""
+    begin = time.monotonic()
+
+    def with_props(df: DataFrame) -> DataFrame:
+        return stage(df.withColumn("v", F.parse_json(F.concat(F.lit('{"properties":'), F.coalesce("props", F.lit("{}")), F.lit("}")))), "records")
+
+    df = with_props(nodes)
+    keys, kinds = _json_props(df)
+    labels = F.coalesce("labels", F.array(F.lit(options.default_label)))
+    graph, n = _node_tables(graph, df.select(F.col("entity").alias("_id"), labels.alias("_labels"), *[_json_column(k, kinds[k]).alias(f"p_{k}") for k in keys]), {k: f"p_{k}" for k in keys})
+    df = with_props(edges)
+    keys, kinds = _json_props(df)
+    rows = df.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), F.col("type").alias("_type"), F.to_json(F.struct("entity", "src", "dst", "type")).alias("_record"), *[_json_column(k, kinds[k]).alias(f"p_{k}") for k in keys])
+    r = _edge_tables(graph, rows, {k: f"p_{k}" for k in keys}, options, begin)
+    return ImportResult(r.graph, n, r.edges_imported, r.rejects, r.duration_ms, r.errors)
