@@ -417,7 +417,7 @@ FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "louvain": (q_louvain, None),
     "louvain_parallel": (q_louvain_parallel, None),
     "node2vec": (q_node2vec, None),
-    "node2vec_counts": (q_node2vec_counts, "SELECT 'Nation:' || n_nationkey AS id, 4 AS walks FROM nation"),
+    "node2vec_counts": (q_node2vec_counts, "SELECT 'Nation:' || n_nationkey AS id, CAST(4 AS BIGINT) AS walks FROM nation"),
     "degree_out": (q_degree_out, "SELECT 'Customer:' || c_custkey AS id, count(o_orderkey) AS degree FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "degree_undirected": (q_degree_undirected, f"{_TRI} SELECT id, degree FROM f"),
     "lookup_property": (q_lookup_property, "SELECT 'Customer:' || c_custkey AS _node_id, c_name AS name FROM customer WHERE c_nationkey = 7 UNION ALL SELECT 'Supplier:' || s_suppkey, s_name FROM supplier WHERE s_nationkey = 7 UNION ALL SELECT 'Nation:' || n_nationkey, n_name FROM nation WHERE n_nationkey = 7"),
