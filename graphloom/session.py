@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,11 @@ def stage(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    if free:  # twice, as what finalizers hold goes only with the second collection
+        for pause in (0.2, 0.0):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(pause)
     return spark.read.schema(schema).parquet(path)
 
 
