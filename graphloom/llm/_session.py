@@ -1,12 +1,12 @@
-"""Session helpers shared by the corpus operators: checkpointed tables and Arrow batch sizes."""
+"""Session helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import shared_dir, stage, unstage
+
+__all__ = ["ARROW_ROWS", "shared_dir", "stage", "tune", "unstage"]
 
 #: Rows an Arrow batch carries at most; texts are long, so batches are kept short.
 ARROW_ROWS = 1000
@@ -15,33 +15,3 @@ ARROW_ROWS = 1000
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    known = getattr(spark, "_graphloom_dir", None)
-    if known is None:
-        known = spark._graphloom_dir = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return known
-
-
-def stage(df: DataFrame, name: str, free: bool = True) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts the lineage.
-
-    Files in the shared folder outlive executors; with ``free`` the shuffle files of what was written
-    are released as soon as Spark's cleaner sees that nothing refers to them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)

@@ -5,11 +5,17 @@ hash), then the frequent ones by rising frequency, as a bounded corpus-wide sket
 ranks; any order gives the same result.
 
 * Equal sets are one *class*; only one document of a class goes on, and copies are never paired.
-* Two sets that reach the threshold share an n-gram in their prefixes, the first ``n - ceil(t n) + 1`` of
-  the global order.  A group of classes that share a prefix n-gram is compared with one pivot at a time, so
-  a group costs rows in proportion to its size.  A pair in one component already cannot change a component
-  and is left out; groups that still hold several components get their next pivot, and what a few rounds
-  leave (small groups) is compared in full.
+* *Filter by prefixes.*  Two sets that reach the threshold t share at least l n-grams within their prefixes, the
+  first ``n - ceil(t n) + l`` of the order, l being a fortieth of the smaller set (one at least).  A set with
+  fewer prefix n-grams that any other prefix has cannot link and is left out.
+* *Filter by whole sets.*  For the sets that are left, all n-grams are counted exactly; a set of which fewer than
+  ``ceil(t n)`` are shared with any other of them cannot link either.
+* *Candidates.*  The order is now exact (rarest first), and two linked sets share one of their first
+  ``n - ceil(t n) + 1`` n-grams.  Groups of sets that share such an n-gram are compared with one pivot at a time,
+  the most central set first, so a group costs rows in proportion to its size.  A pair within one component cannot
+  change a component and is left out; groups that still hold several components get their next pivot, and what
+  small groups and a few rounds leave is compared in full, each pair at its first common n-gram only.  A pair is
+  compared only if sizes and prefixes leave it a chance, which few unlinked pairs of a large group pass.
 * *Vertical partitioning*: the order is cut into fragments; the overlap of a pair is counted in each fragment
   on its own and summed per pair, which gives the exact Jaccard test in integers.
 
@@ -26,16 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import _text as X
 from ._components import components
-from ._session import stage, tune
+from ._session import stage, tune, unstage
 
 #: The sketch: slots, slots reported by a task, slots broadcast; the count from which a slot is frequent.
 SLOT_BITS, SUMMARY, TABLE, FREQUENT = 22, 1 << 13, 1 << 16, 32
 #: Fragments of the global order, pivot rounds, and the group size that is compared in full at once.
-FRAGMENTS, ROUNDS, SMALL = 8, 3, 8
+FRAGMENTS, ROUNDS, SMALL = 8, 2, 8
+#: The shared prefix n-grams asked of a set: one for every so many of its n-grams.
+EVERY = 40
 _HASH_BITS = 59
 
 
@@ -96,7 +104,12 @@ def _sum_rows(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+    return np.minimum(n, n - -(-percent * n // 100) + np.maximum(1, n // EVERY))
+
+
+def least_shared(n: Column, percent: int) -> Column:
+    """Prefix n-grams that a set of n must share with any one set it links with (which may be the smaller)."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100 - 1e-9) / EVERY))
 
 
 def _profiles(order, percent: int):
@@ -121,34 +134,81 @@ def _profiles(order, percent: int):
 
 
 def _fragments(order):
-    """(cls, n, fragment, tokens): fragments cut the hash range of the rare tier; the frequent tiers are one more."""
+    """(cls, n, parts): the tokens of a set, cut where the order's fragments are cut: ranges of the rare tier's hashes, and
+    the frequent tiers as one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = _Order(*order.value)
         for batch in batches:
             for chunk in X.chunks(batch.column(1)):
                 token, bounds = o.sets(chunk)
-                n = np.diff(bounds)
-                row = np.repeat(np.arange(chunk.rows), n)
+                row = np.repeat(np.arange(chunk.rows), np.diff(bounds))
                 part = np.minimum(token >> np.uint64(_HASH_BITS - 3), np.uint64(FRAGMENTS)).astype(np.int64)
-                first = X.runs(row, part)
-                offsets = np.append(first, len(token))
-                take = pa.array(row[first] + chunk.first)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(n[row[first]]), pa.array(part[first].astype(np.int32)), lists], ["cls", "n", "part", "tokens"])
+                cuts = np.searchsorted(row * (FRAGMENTS + 1) + part, np.arange(chunk.rows * (FRAGMENTS + 1) + 1))
+                inner = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(token.view(np.int64)))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(chunk.rows + 1) * (FRAGMENTS + 1), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(np.diff(bounds)), outer], ["cls", "n", "parts"])
 
     return run
 
 
-def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity reaches the threshold: partial overlaps, summed."""
-    a = parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
-    b = parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
-    partial = pairs.join(a, "a").join(b, ["b", "part"]).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    total = partial.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("s")).groupBy("a", "b", "na", "nb").agg(F.sum("s").alias("s"))
+    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    b = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    overlaps = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+    total = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(overlaps, F.lit(0).cast("long"), lambda s, x: s + x).alias("s"))
     return total.where(100 * F.col("s") >= percent * (F.col("na") + F.col("nb") - F.col("s"))).select("a", "b")
 
 
+def _sharing(rows: DataFrame, sizes: DataFrame, least, name: str, times: int = 1) -> DataFrame:
+    """rows: (token, cls).  Those of tokens that several classes have, of classes with at least ``least(n)`` of them;
+    can be applied again, as a class that goes may leave others without partners.  The result is written.
+
+    The joins hash the smaller side, distinct tokens or classes, instead of sorting the rows."""
+    old = None
+    for _ in range(times):
+        groups = stage(rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token"), f"{name}-tokens")
+        shared = stage(rows.join(groups.hint("shuffle_hash"), "token"), f"{name}-rows")
+        unstage(groups)
+        if old is not None:
+            unstage(old)
+        enough = shared.groupBy("cls").agg(F.count("*").alias("c")).join(sizes, "cls").where(F.col("c") >= least(F.col("n"))).select("cls")
+        rows = old = stage(shared.join(stage(enough, f"{name}-sets", free=False).hint("shuffle_hash"), "cls").select("token", "cls"), f"{name}-kept")
+        unstage(shared)
+    return rows
+
+
+def ranked_prefixes(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, alone, central, first): the places of the shared n-grams in the prefix of each class, rarest first.
+
+    A place is an n-gram's position in the exact order as one number: its document frequency on a logarithmic scale, then
+    56 bits of hash (two n-grams in one place cost at most a comparison).  ``alone`` counts the n-grams that no other
+    class has; they stand before all others and take their places in the prefix unseen.  ``central`` ranks
+    classes by the share of n-grams that others have; ``first`` is the whole shared prefix."""
+    scale = F.least(F.floor(F.log2(F.col("df")) * 4), F.lit(126)).cast("long")
+    place = F.shiftleft(scale, 56).bitwiseOR(F.xxhash64("token").bitwiseAND((1 << 56) - 1))
+    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", place.alias("place"))
+    df = stage(df, "ngram-df")
+    per = rows.join(df.hint("shuffle_hash"), "token").groupBy("cls").agg(F.array_sort(F.collect_list("place")).alias("t")).join(sizes, "cls")
+    per = per.withColumn("alone", F.col("n") - F.size("t"))
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1 - F.col("alone")
+    return per.where(take > 0).select("cls", "n", "alone", (F.size("t") / F.col("n")).alias("central"), F.slice("t", 1, F.greatest(take, F.lit(0)).cast("int")).alias("first"))
+
+
+def possible(percent: int, na: Column, ua: Column, fa: Column, nb: Column, ub: Column, fb: Column) -> Column:
+    """Whether two sets can still reach the threshold, from sizes, lone n-grams and prefixes.
+
+    Up to the place where the shorter prefix ends, both sets are fully seen; what one has there and the other has not
+    is lost, and so are the lone n-grams.  As the order is rarest first, differences show in the prefixes."""
+    need = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+    end = F.least(F.element_at(fa, -1), F.element_at(fb, -1))
+    common = F.size(F.array_intersect(fa, fb))
+    lost_a = ua + F.size(F.filter(fa, lambda x: x <= end)) - common
+    lost_b = ub + F.size(F.filter(fb, lambda x: x <= end)) - common
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (na - ua >= need) & (nb - ub >= need) & (na - lost_a >= need) & (nb - lost_b >= need)
+
+
 def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, components): (key, n, cls), (cls, rep) and (node, root) over linked classes."""
     spark = docs.sparkSession
@@ -163,37 +223,62 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
         return ngram_links(docs, n, percent, key, text, seed + 1)
     classes = classes.select("cls", "rep").where("rep is not null")
 
-    tokens = real.join(classes.select(F.col("rep").alias("key")), "key").select(F.explode("prefix").alias("token"), "cls", "n")
-    groups = tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.min_by("n", "cls").alias("np"), F.max("cls").alias("top"), F.count("*").alias("size")).where("pivot < top").drop("top")
-    members = stage(tokens.join(stage(groups, "ngram-pivots", free=False), "token"), "ngram-groups")
-    ids = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("key"), "cls")
-    parts = stage(texts.join(ids, "key").select("cls", "text").mapInArrow(_fragments(order), "cls long, n long, part int, tokens array<long>"), "ngram-fragments")
-
-    near = 100 * F.least("n", "np") >= percent * F.greatest("n", "np")
-    pairs = members.where((F.col("cls") != F.col("pivot")) & near).select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stage(verified(pairs, parts, percent), "ngram-links")
-    done = None
-    rest = members.where("size > 2 and cls <> pivot").select("token", "cls", "n")
+    sizes = stage(real.groupBy("cls").agg(F.max("n").alias("n")), "ngram-sizes", free=False)
+    tokens = real.join(classes.select(F.col("rep").alias("key")), "key").select(F.explode("prefix").alias("token"), "cls")
+    kept = _sharing(tokens, sizes, lambda n: least_shared(n, percent), "ngram-prefix", 2)
+    ids = kept.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("key"), "cls")
+    parts = sets = stage(texts.join(ids, "key").select("cls", "text").mapInArrow(_fragments(order), "cls long, n long, parts array<array<long>>"), "ngram-fragments")
+    unstage(kept)
+    tokens = sets.select("cls", F.explode(F.flatten("parts")).alias("token"))
+    rows = _sharing(tokens, sizes, lambda n: F.ceil(n * percent / 100 - 1e-9), "ngram-whole")
+    heads = stage(ranked_prefixes(rows, sizes, percent), "ngram-heads")
+    sets = stage(sets.join(heads.select("cls"), "cls"), "ngram-sets")
+    unstage(rows)
+    unstage(parts)
+
+    c = F.col
+    a_head = heads.select(c("cls").alias("a"), c("n").alias("na"), c("alone").alias("ua"), c("first").alias("fa"))
+    b_head = heads.select(c("cls").alias("b"), c("n").alias("nb"), c("alone").alias("ub"), c("first").alias("fb"))
+    chance = possible(percent, c("na"), c("ua"), c("fa"), c("nb"), c("ub"), c("fb"))
+    rest = heads.select(F.explode("first").alias("place"), "cls", "n", "central")
+    links = roots = done = None
     for turn in range(ROUNDS + 1):
-        roots = stage(components(links), "ngram-roots")
-        labelled = rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = labelled.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("cls").alias("pivot"), F.min_by("n", "cls").alias("np"), F.min_by("root", "cls").alias("rp"), F.count("*").alias("size")).where("r0 <> r1").select("token", "pivot", "np", "rp", "size")
-        rest = stage(labelled.join(stage(mixed, "ngram-mixed", free=False), "token"), "ngram-rest")
+        if roots is None:
+            labelled = rest.withColumn("root", F.col("cls"))
+        else:
+            labelled = rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        best = F.max(F.struct("central", "cls", "n", "root")).alias("p")
+        mixed = labelled.groupBy("place").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), best, F.count("*").alias("size")).where("r0 <> r1")
+        mixed = stage(mixed.select("place", c("p.cls").alias("pivot"), c("p.n").alias("np"), c("p.root").alias("rp"), "size"), "ngram-pivots", free=False)
+        rest = stage(labelled.join(mixed, "place"), "ngram-rest")
         if not rest.limit(1).count():
             break
-        full = rest.where((F.col("size") <= SMALL) | F.lit(turn == ROUNDS))
-        other = full.select("token", F.col("cls").alias("b"), F.col("n").alias("np"), F.col("root").alias("rb"))
-        pairs = full.drop("np").join(other, "token").where((F.col("cls") < F.col("b")) & (F.col("root") != F.col("rb")) & near).select(F.col("cls").alias("a"), "b")
         if turn < ROUNDS:
-            star = rest.where((F.col("size") > SMALL) & (F.col("cls") != F.col("pivot")) & (F.col("root") != F.col("rp")) & near)
-            pairs = pairs.unionByName(star.select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-        pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ngram-pairs")
+            star = rest.where((c("cls") != c("pivot")) & (c("root") != c("rp")) & (100 * F.least("n", "np") >= percent * F.greatest("n", "np"))).select(c("cls").alias("a"), c("pivot").alias("b"))
+            small = rest.where((c("size") <= SMALL) & (c("size") > 2))
+            x = small.select("place", c("cls").alias("a"), c("n").alias("na"), c("root").alias("ra"))
+            y = small.select("place", c("cls").alias("b"), c("n").alias("nb"), c("root").alias("rb"))
+            near = (c("a") > c("b")) & (c("ra") != c("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            pairs = star.unionByName(x.join(y, "place").where(near).select("a", "b"))
+            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            pairs = pairs.join(a_head, "a").join(b_head, "b").where(chance).select("a", "b")
+        else:
+            x = rest.select("place", c("cls").alias("a"), c("root").alias("ra")).join(a_head, "a")
+            y = rest.select("place", c("cls").alias("b"), c("root").alias("rb")).join(b_head, "b")
+            once = (c("a") > c("b")) & (c("ra") != c("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.try_element_at(F.array_intersect("fa", "fb"), F.lit(1)) == x["place"])
+            pairs = x.join(y, (x["place"] == y["place"]) & once & chance).select("a", "b").distinct()
+        pairs = stage(pairs, "ngram-pairs")
         fresh = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
         done = pairs if done is None else done.unionByName(pairs)
-        links = stage(links.unionByName(verified(fresh, parts, percent)), "ngram-links")
-        rest = rest.where((F.col("size") > SMALL) & (F.col("cls") != F.col("pivot"))).select("token", "cls", "n")
-    else:
-        roots = stage(components(links), "ngram-roots")
+        new = stage(verified(fresh, sets, percent), "ngram-links")
+        if links is None or new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            roots = stage(components(links), "ngram-roots")
+        if turn == ROUNDS:
+            break
+        rest = rest.where((F.col("size") > SMALL) & (F.col("cls") != F.col("pivot"))).select("place", "cls", "n", "central")
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
     return profiles.select("key", "n", "cls"), classes, roots
 
 
@@ -207,4 +292,4 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str =
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), 4, 85)
+    return ngram_components(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), 4, 85).drop("class_id")
