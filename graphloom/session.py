@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def stage(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts the lineage.
 
     Files in the shared folder outlive executors; with ``free`` the shuffle files of what was written
