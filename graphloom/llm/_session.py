@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_dir, stage, unstage
+from ..session import shared_dir, unstage
+from ..session import stage as _stage
 
 __all__ = ["ARROW_ROWS", "shared_dir", "stage", "tune", "unstage"]
 
@@ -15,3 +16,8 @@ ARROW_ROWS = 1000
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def stage(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """Write and read back; shuffle files go at once unless the caller knows that they are few."""
+    return _stage(df, name, free)
