@@ -35,9 +35,9 @@ from .quality import labelled_sample, platt
 
 LENGTH, STRIDE, HIDDEN, INPUT, ATTEND = 32, 24, 8, 12, 8
 #: Buckets of the byte grams; a word has its own embedding if this many training documents hold it.
-CHAR_BITS, MIN_DOCS = 18, 4
+CHAR_BITS, MIN_DOCS = 17, 4
 #: TRAIN_CHARS holds TRAIN_WORDS words with room to spare.
-TRAIN_ROWS, TRAIN_WORDS, TRAIN_CHARS, EPOCHS, BATCH, NEGATIVES = 4000, 800, 8000, 12, 512, 6000
+TRAIN_ROWS, TRAIN_WORDS, TRAIN_CHARS, EPOCHS, BATCH, NEGATIVES = 3500, 800, 8000, 12, 512, 6000
 THRESHOLD, WORDS_AT_ONCE = 0.3, 1 << 14
 _F = np.float32
 
@@ -317,12 +317,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
         weight = np.where(label == 1, 0.4 / max(1, len(positive)), 0.6 / max(1, len(negative))) * len(order)
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
-            used, local = np.unique(idx[pick], return_inverse=True)
-            used = used[used < len(v.word)]
-            local = np.minimum(local.reshape(len(pick), LENGTH), len(used))
-            size = np.diff(v.bounds)[used]
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(v.bounds[used], size)
-            part = Vocabulary(v.word[used], v.chars[at], np.concatenate([[0], np.cumsum(size)]), local, local)
+            part, local, used = _part(v, idx[pick])
+            size = np.diff(part.bounds)
             mine = np.where(r.random(len(used)) < 0.3, 0, own[used])  # so that the grams learn too
             x = inputs(p, part, mine)
             gates, keep = {side: _gates(p, x, side) for side in "fb"}, {}
@@ -355,10 +351,24 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     return ToxicityModel(p, slope, shift, float(np.nanmin(top)) if known.any() else 0.0)
 
 
-def _scores(p: dict[str, np.ndarray], v: Vocabulary, idx: np.ndarray) -> np.ndarray:
-    x = inputs(p, v)
-    gates = {side: _gates(p, x, side) for side in "fb"}
-    return np.concatenate([forward(p, gates, idx[k : k + 4096]) for k in range(0, len(idx), 4096)]) if len(idx) else np.zeros(0, _F)
+def _scores(p: dict[str, np.ndarray], v: Vocabulary, idx: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Logit of each window; only the words of ``at_once`` windows are held at a time."""
+    out = [np.zeros(0, _F)]
+    for k in range(0, len(idx), at_once):
+        part, local, _ = _part(v, idx[k : k + at_once])
+        x = inputs(p, part)
+        out.append(forward(p, {side: _gates(p, x, side) for side in "fb"}, local))
+    return np.concatenate(out)
+
+
+def _part(v: Vocabulary, idx: np.ndarray) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The words of some windows as a vocabulary of their own, the windows in its terms, and the words' old indexes."""
+    used, local = np.unique(idx, return_inverse=True)
+    used = used[used < len(v.word)]
+    local = np.minimum(local.reshape(idx.shape), len(used))
+    size = np.diff(v.bounds)[used]
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(v.bounds[used], size)
+    return Vocabulary(v.word[used], v.chars[at], np.concatenate([[0], np.cumsum(size)]), local, local), local, used
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", where=None) -> ToxicityModel:
