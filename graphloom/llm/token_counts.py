@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._session import tune
+from ._session import stage, tune
 
 #: The pre-token pattern of the byte-level family (fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,16 +100,30 @@ def _counted(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBat
 
 
 def frequent_table(docs: DataFrame, path: str, text: str = "text") -> dict[str, int]:
-    """Token counts of the ``TABLE`` most frequent pre-tokens of all texts (bounded, collected to the driver)."""
+    """Token counts of at most ``TABLE`` pre-tokens, the most frequent of all texts (bounded, collected to the driver)."""
 
     def summary(batches):
         yield from _counted(batches, _Encoder(path, {}).pieces)
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(summary, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE).collect()
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(summary, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = sorted(most_frequent(stage(counts, "token-pieces"), TABLE), key=lambda r: r["piece"])
     encoder = _Encoder(path, {})
     return {r["piece"]: encoder.encode(r["piece"]) for r in rows}
 
 
+def most_frequent(counts: DataFrame, limit: int) -> list:
+    """At most ``limit`` rows of the largest ``n``, with a cut found from a histogram, so that no task sends more than it keeps."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"])  # a few hundred rows
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["level"]
+    return counts.where(level >= least).collect() if least is not None else []
+
+
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", limit: int = 1024, table: dict[str, int] | None = None) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of each row."""
     tune(docs.sparkSession)
