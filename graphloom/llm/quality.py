@@ -173,13 +173,14 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, where=None, chars: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts, those with the smallest key hash (labels picked before texts are read)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, where=None, chars: int | None = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most ``rows`` labelled texts, those with the smallest key hash (labels picked before texts are read); whole if ``chars`` is None."""
     picked = labels.select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isNotNull())
     if where is not None:
         picked = picked.where(where(F.col("_k")))
     picked = picked.orderBy(F.xxhash64("_k"), "_k", "_y").limit(rows)
-    found = docs.select(F.col(key).alias("_k"), F.substring(F.col(text).cast("string"), 1, chars).alias("_t")).join(F.broadcast(picked), "_k").select("_k", "_t", "_y").collect()
+    whole = F.col(text).cast("string")
+    found = docs.select(F.col(key).alias("_k"), (whole if chars is None else F.substring(whole, 1, chars)).alias("_t")).join(F.broadcast(picked), "_k").select("_k", "_t", "_y").collect()
     found = sorted(found, key=lambda r: (r["_k"], r["_y"], r["_t"] or ""))
     return [r["_t"] or "" for r in found], np.array([r["_y"] for r in found])
 

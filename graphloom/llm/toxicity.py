@@ -9,8 +9,8 @@ has the mean score of its two highest windows, Platt-scaled.
 
 Training learns from windows of labelled documents: first every window has its document's label, then in
 positive documents only windows that score high keep it (multiple-instance relabelling).  The sample
-is bounded: ``TRAIN_ROWS`` labelled documents (smallest key hash) and ``TRAIN_WORDS`` words (``TRAIN_CHARS``
-characters) of each.  Scoring
+is bounded by rows only: ``TRAIN_ROWS`` labelled documents (smallest key hash), each with all its windows; the
+Platt scale and the floor are fitted on the scores of whole texts.  Scoring
 is not bounded: whole texts, in Arrow batches, with memory in proportion to a chunk of about a megabyte.
 
 Defined cases: null, empty and word-less texts get the lowest score seen in training; without labels of both
@@ -36,8 +36,7 @@ from .quality import labelled_sample, platt
 LENGTH, STRIDE, HIDDEN, INPUT, ATTEND = 32, 24, 8, 12, 8
 #: Buckets of the byte grams; a word has its own embedding if this many training documents hold it.
 CHAR_BITS, MIN_DOCS = 17, 4
-#: TRAIN_CHARS holds TRAIN_WORDS words with room to spare.
-TRAIN_ROWS, TRAIN_WORDS, TRAIN_CHARS, EPOCHS, BATCH, NEGATIVES = 3500, 800, 8000, 12, 512, 6000
+TRAIN_ROWS, EPOCHS, BATCH, NEGATIVES = 3500, 12, 512, 6000
 THRESHOLD, WORDS_AT_ONCE = 0.3, 1 << 14
 _F = np.float32
 
@@ -269,15 +268,12 @@ def _merge(texts: list[str]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     seen: dict[int, int] = {}
     for chunk in X.chunks(pa.array(texts, pa.string())):
         v = vocabulary(chunk)
-        # only the first TRAIN_WORDS words of a document make training windows
         i, r = window_index(v)
-        nth = np.arange(len(r)) - np.searchsorted(r, r)
-        ok = nth * STRIDE < TRAIN_WORDS
         fresh = np.array([w not in seen for w in v.word.tolist()], bool)
         seen.update(zip(v.word[fresh].tolist(), range(base, base + int(fresh.sum()))))
         base += int(fresh.sum())
         at = np.array([*map(seen.__getitem__, v.word.tolist()), -1], np.int64)
-        parts.append((at[i[ok]].astype(np.int32), (r + chunk.first)[ok].astype(np.int32)))
+        parts.append((at[i].astype(np.int32), (r + chunk.first).astype(np.int32)))
         size = np.diff(v.bounds)
         words.append(v.word[fresh])
         chars.append(v.chars[np.repeat(fresh, size)])
@@ -373,7 +369,7 @@ def _part(v: Vocabulary, idx: np.ndarray) -> tuple[Vocabulary, np.ndarray, np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", where=None) -> ToxicityModel:
     """Train on labelled rows outside the held-out fold (``where`` replaces that condition)."""
-    return train(*labelled_sample(docs, labels, "toxic", key, text, TRAIN_ROWS, where or (lambda k: ~held_out(k)), TRAIN_CHARS))
+    return train(*labelled_sample(docs, labels, "toxic", key, text, TRAIN_ROWS, where or (lambda k: ~held_out(k)), None))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -78,3 +78,24 @@ def test_odd(spark, docs, texts, nothing):
     assert got.keys() == texts.keys() and all(0 <= s <= 1 for s in got.values())
     assert T.toxicity(nothing, model).count() == 0
     assert not T.fit(docs, labels.limit(0)).params and not T.fit(docs, labels.where("toxic = 0")).params
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    plain, late = "calm words of a day " * 400, "calm words of a day " * 2000 + "utterfool " * 3
+    v, idx, row = T._merge([plain, late])
+    want = [len(T.window_index(T.vocabulary(next(X.chunks(pa.array([t])))))[0]) for t in (plain, late)]
+    assert np.bincount(row).tolist() == want
+    seen = {}
+    monkeypatch.setattr(T, "train", lambda texts, y: seen.update(zip(y.tolist(), texts)))
+    docs = spark.createDataFrame([(0, plain), (1, late)], "doc_id long, text string")
+    T.fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"), where=lambda k: k.isNotNull())
+    assert seen == {0.0: plain, 1.0: late}
+
+
+def test_scale_is_fitted_on_whole_texts(monkeypatch):
+    texts = [("calm words of a day " * 300 + ("utterfool " * 4 if i % 2 else "")) for i in range(20)]
+    seen = {}
+    monkeypatch.setattr(T, "platt", lambda top, y: (seen.update(top=top), (1.0, 0.0))[1])
+    m = T.train(texts, np.arange(20) % 2, epochs=1)
+    z = m.logits(next(X.chunks(pa.array(texts))))
+    assert np.allclose(seen["top"], z[np.arange(20) % 5 == 4], atol=1e-5) and abs(m.floor - z.min()) < 1e-5
