@@ -5,11 +5,13 @@ point offsets.  The expressions are the contract's, written so that the JVM's ma
 rescans: possessive repeats, and a look-behind where a run of one class can only match from its start.
 
 *Bootstrapping.*  Every white-space token with a digit or an at sign is a candidate; its core is the token without outer quotes
-and punctuation, its pattern the two words before it (lower case, digits as 0).  Seeds are cores that overlap
+and punctuation, its pattern the two words before it (lower case, digits as 0), other candidates included; only a
+candidate that opens a text has none.  Seeds are cores that overlap
 a base span or have the shape of a secret (``SECRET``).  The bipartite graph of patterns and distinct cores is
 scored in rounds: a pattern's confidence is the summed confidence of its instances over their number plus one
 (at least ``MIN_INSTANCES`` distinct ones), an instance's is 1 for a seed and else that of its best accepted
-pattern.  Accepted patterns (confidence of ``ACCEPT`` or more) mark all their cores as spans of kind ``id``.
+pattern.  Confidences only rise from round to round; the rounds end when no pattern is accepted anew and none has
+gained.  Accepted patterns (confidence of ``ACCEPT`` or more) mark all their cores as spans of kind ``id``.
 
 Counts are over distinct cores, so thousands of copies of a text weigh no more than one; all aggregates
 combine map-side, and the confidence tables are written before they are joined, so a hot pattern is split.
@@ -24,7 +26,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._session import stage
+from ._session import stage, unstage
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 _LOCAL, _PART = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -39,7 +41,7 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 #: Shape of secrets that serve as seeds beside the base spans.
 SECRET = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_/+=-]{20,})$"
-MIN_CORE, MIN_INSTANCES, ACCEPT, ROUNDS, CONTEXT_CHARS = 6, 3, 0.7, 3, 80
+MIN_INSTANCES, ACCEPT, SETTLED = 3, 0.7, 1e-6
 _SPAN = "array<struct<m:string,s:int,e:int>>"
 
 
@@ -94,14 +96,18 @@ def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     cols = {kind: F.when(may(F.col("t")), located(F.col("t"), PATTERNS[kind])).otherwise(none) for kind, may in _MAY.items()}
     some = F.col("t").rlike("[0-9@]")
     tokens = F.when(some, located(F.col("t"), TOKEN)).otherwise(none)
-    gaps = F.when(some, F.transform(F.split(F.col("t"), TOKEN, -1), lambda x: F.right(x, F.lit(CONTEXT_CHARS)))).otherwise(F.array().cast("array<string>"))
-    out = out.select("key", *[c.alias(k) for k, c in cols.items()], tokens.alias("tokens"), gaps.alias("gaps"))
+    # every word with the two before it; those with a digit or an at sign are the tokens, in the same order
+    words = F.filter(F.split(F.col("t"), r"\s+"), lambda w: w != "")
+    lead = F.arrays_zip(F.concat(F.array(F.lit(""), F.lit("")), words).alias("a"), F.concat(F.array(F.lit("")), words).alias("b"), words.alias("w"))
+    lead = F.transform(F.filter(lead, lambda x: x["w"].rlike("[0-9@]")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
+    before = F.when(some, lead).otherwise(F.array().cast("array<string>"))
+    out = out.select("key", *[c.alias(k) for k, c in cols.items()], tokens.alias("tokens"), before.alias("before"))
 
     def spans_of(i: int, kind: str) -> Column:
         return F.transform(F.filter(F.col(kind), lambda x: _valid(kind, x["m"])), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), F.lit(kind).alias("kind"), x["e"].alias("e")))
 
     spans = [spans_of(i, kind) for i, kind in enumerate(_MAY)]
-    out = out.select("key", F.concat(*spans).alias("base"), F.slice(F.arrays_zip("tokens", "gaps"), 1, F.greatest(F.size("tokens"), F.lit(0))).alias("z"))
+    out = out.select("key", F.concat(*spans).alias("base"), F.arrays_zip("tokens", "before").alias("z"))
 
     def candidate(x: Column) -> Column:
         m = x["tokens"]["m"]
@@ -109,11 +115,10 @@ def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
         core = F.regexp_replace(F.substring(m, lead + 1, 1 << 20), r"[\"'`)>\]},.;:!?]++$", "")
         s = x["tokens"]["s"] + lead
         e = s + F.length(core)
-        words = F.split(F.trim(F.regexp_replace(F.lower(x["gaps"]), r"\s+", " ")), " ")
-        pattern = F.regexp_replace(F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " "), "[0-9]", "0")
+        pattern = F.regexp_replace(F.lower(F.trim(x["before"])), "[0-9]", "0")
         return F.struct(pattern.alias("pattern"), core.alias("core"), s.alias("s"), e.alias("e"))
 
-    out = out.withColumn("c", F.filter(F.transform("z", candidate), lambda c: (F.length(c["core"]) >= MIN_CORE) & (c["pattern"] != "")))
+    out = out.withColumn("c", F.filter(F.transform("z", candidate), lambda c: (c["core"] != "") & (c["pattern"] != "")))
     seeded = F.transform("c", lambda c: F.struct(c["pattern"].alias("pattern"), c["core"].alias("core"), c["s"].alias("s"), c["e"].alias("e"), F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"])).alias("based"), c["core"].rlike(SECRET).alias("secret")))
     return out.select("key", F.array_sort("base").alias("base"), seeded.alias("candidates"))
 
@@ -125,12 +130,17 @@ def accepted_patterns(candidates: DataFrame) -> DataFrame:
     enough = stage(edges.groupBy("pattern").count().where(F.col("count") >= MIN_INSTANCES).select("pattern"), "pii-patterns", free=False)
     edges = stage(edges.join(enough, "pattern"), "pii-graph", free=False)
     known = stage(edges.groupBy("core").agg(F.max(F.col("seed").cast("double")).alias("conf")), "pii-instances", free=False)
-    for turn in range(ROUNDS):
+    count, total = -1, 0.0
+    while True:
         scored = edges.join(known, "core").groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("confidence"))
         patterns = stage(scored.where(F.col("confidence") >= ACCEPT), "pii-scores", free=False)
-        if turn < ROUNDS - 1:
-            found = edges.join(patterns, "pattern", "left").groupBy("core").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("conf"))
-            known = stage(found, "pii-instances", free=False)
+        n, whole = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if n == count and whole - total <= SETTLED:
+            break
+        count, total = n, whole
+        found = edges.join(patterns, "pattern", "left").groupBy("core").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("conf"))
+        unstage(known)
+        known = stage(found, "pii-instances", free=False)
     return patterns
 
 

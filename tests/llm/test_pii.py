@@ -74,3 +74,32 @@ def test_redact(spark):
 def test_repeated_rows_and_null_keys(spark):
     df = spark.createDataFrame([(1, "a@b.com"), (1, "a@b.com"), (None, "a@b.com")], "doc_id long, text string")
     assert [len(r.base) for r in P.pii_spans(df).collect()] == [1, 1, 1]
+
+
+def ids(spark, texts):
+    rows = P.pii_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    return {r.doc_id: [texts[r.doc_id][x.s : x.e] for x in r.found if x.kind == "id"] for r in rows}
+
+
+def test_context_reaches_over_candidates(spark):
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = {i: f"our accounts: AB-{1000000 + i}, {secret(i)} end" for i in range(15)}
+    texts |= {20: "accounts: AB-1234567, ZX-77 and more", 21: "our accounts: AB-1234567, short1 AB-3456789"}
+    texts[22] = "accounts:" + " " * 200 + "AB-7654321, q7"
+    got = ids(spark, texts)
+    assert got[20] == ["ZX-77"] and got[21] == ["short1"] and got[22] == ["q7"] and got[3] == [secret(3)]
+
+
+def test_rounds_go_on_until_nothing_changes(spark):
+    """A chain of patterns, each accepted only through the cores that the one before it found."""
+    secret = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    texts, n, depth, steps = {}, 0, 4, "abcd"
+    for k in range(depth):
+        link = [f"link-{k}-{j}" for j in range(4)]
+        back = [f"link-{k - 1}-{j}" for j in range(4)] if k else [secret(("s", j)) for j in range(4)]
+        for core in [*[secret(("l", k, j)) for j in range(10)], *back, *link]:
+            texts[n] = f"some link{steps[k]} code {core} end"
+            n += 1
+    got = ids(spark, texts)
+    for k in range(depth):
+        assert [i for i, t in texts.items() if t.startswith(f"some link{steps[k]} ") and len(got[i]) != 1] == [], k
