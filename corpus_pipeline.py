@@ -37,16 +37,18 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; n_chars follows the text."""
+    """Personal data is replaced by its kind in brackets; n_chars follows the text.  Rows are matched by text, so those without an id are redacted too."""
     out = pii.redact(docs, pii.pii_spans(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds each document's rate; documents whose rate is zero go.  The classifier learns from the labelled documents that are left."""
+    """Adds each document's rate; documents whose rate is zero go.  The classifier learns from the labelled documents that are left.
+
+    Documents without an id share one rate, as rows that share an id do (see ``mixing.mix``)."""
     rates = mixing.mix(docs, _table(spark, sf_dir, "labels")).where("rate > 0")
     rates = stage(rates.withColumnRenamed("doc_id", "_k"), "pipeline-rates")
-    return docs.join(rates, F.col("doc_id") == F.col("_k")).drop("_k")
+    return docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_k"))).drop("_k")
 
 
 STAGES = [

@@ -16,8 +16,9 @@ gained.  Accepted patterns (confidence of ``ACCEPT`` or more) mark all their cor
 Counts are over distinct cores, so thousands of copies of a text weigh no more than one; all aggregates
 combine map-side, and the confidence tables are written before they are joined, so a hot pattern is split.
 
-Defined cases: null and empty texts have no spans; equal texts have equal base spans; repeated rows each give
-their row; a row with a null key gets base spans only; extra columns are ignored; empty tables give empty results.
+Defined cases: null and empty texts have no spans; equal texts have equal spans, whatever their keys, for rows are
+matched by the md5 of the text; repeated rows each give their row, and so do rows with a null key; extra columns are
+ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ _MAY = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"
 
 
 def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, base, candidates): base spans as (s, k, kind, e), candidates as (pattern, core, s, e, seed)."""
+    """(key, text_md5, base, candidates): base spans as (s, k, kind, e), candidates as (pattern, core, s, e, seed)."""
     out = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     none = F.array().cast(_SPAN)
     cols = {kind: F.when(may(F.col("t")), located(F.col("t"), PATTERNS[kind])).otherwise(none) for kind, may in _MAY.items()}
@@ -101,13 +102,13 @@ def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     lead = F.arrays_zip(F.concat(F.array(F.lit(""), F.lit("")), words).alias("a"), F.concat(F.array(F.lit("")), words).alias("b"), words.alias("w"))
     lead = F.transform(F.filter(lead, lambda x: x["w"].rlike("[0-9@]")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
     before = F.when(some, lead).otherwise(F.array().cast("array<string>"))
-    out = out.select("key", *[c.alias(k) for k, c in cols.items()], tokens.alias("tokens"), before.alias("before"))
+    out = out.select("key", F.md5(F.col("t").cast("binary")).alias("text_md5"), *[c.alias(k) for k, c in cols.items()], tokens.alias("tokens"), before.alias("before"))
 
     def spans_of(i: int, kind: str) -> Column:
         return F.transform(F.filter(F.col(kind), lambda x: _valid(kind, x["m"])), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), F.lit(kind).alias("kind"), x["e"].alias("e")))
 
     spans = [spans_of(i, kind) for i, kind in enumerate(_MAY)]
-    out = out.select("key", F.concat(*spans).alias("base"), F.arrays_zip("tokens", "before").alias("z"))
+    out = out.select("key", "text_md5", F.concat(*spans).alias("base"), F.arrays_zip("tokens", "before").alias("z"))
 
     def candidate(x: Column) -> Column:
         m = x["tokens"]["m"]
@@ -120,7 +121,7 @@ def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     out = out.withColumn("c", F.filter(F.transform("z", candidate), lambda c: (c["core"] != "") & (c["pattern"] != "")))
     seeded = F.transform("c", lambda c: F.struct(c["pattern"].alias("pattern"), c["core"].alias("core"), c["s"].alias("s"), c["e"].alias("e"), F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"])).alias("based"), c["core"].rlike(SECRET).alias("secret")))
-    return out.select("key", F.array_sort("base").alias("base"), seeded.alias("candidates"))
+    return out.select("key", "text_md5", F.array_sort("base").alias("base"), seeded.alias("candidates"))
 
 
 def accepted_patterns(candidates: DataFrame) -> DataFrame:
@@ -145,25 +146,25 @@ def accepted_patterns(candidates: DataFrame) -> DataFrame:
 
 
 def pii_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, found): base spans and all spans of each row, as sorted arrays of (s, k, kind, e)."""
+    """(key, text_md5, base, found): base spans and all spans of each row, as sorted arrays of (s, k, kind, e)."""
     rows = stage(base_and_candidates(docs, key, text), "pii-rows")
-    flat = rows.select("key", F.explode("candidates").alias("c")).select("key", "c.*")
+    flat = rows.select("text_md5", F.explode("candidates").alias("c")).select("text_md5", "c.*")
     patterns = accepted_patterns(flat.select("pattern", "core", (F.col("based") | F.col("secret")).alias("seed")))
-    hits = flat.where("key is not null and not based").join(patterns, "pattern").groupBy("key").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), F.lit("id").alias("kind"), "e")).alias("more"))
+    hits = flat.where("not based").join(patterns, "pattern").groupBy("text_md5").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), F.lit("id").alias("kind"), "e")).alias("more"))
     hits = stage(hits, "pii-found", free=False)
-    out = rows.select("key", "base").join(hits, "key", "left")
-    return out.select(F.col("key").alias(key), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("found"))
+    out = rows.select("key", "text_md5", "base").join(hits, "text_md5", "left")
+    return out.select(F.col("key").alias(key), "text_md5", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("found"))
 
 
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``found`` replaced by ``[kind]``; of overlapping spans the first is named."""
-    wanted = spans.where(F.size("found") > 0).select(F.col(key).alias("_k"), F.col("found").alias("_f")).dropDuplicates(["_k"])
-    out = docs.join(wanted, docs[key] == wanted["_k"], "left")
+    wanted = spans.where(F.size("found") > 0).select(F.col("text_md5").alias("_k"), F.col("found").alias("_f")).dropDuplicates(["_k"])
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    out = docs.join(wanted, F.md5(t.cast("binary")) == F.col("_k"), "left")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:

@@ -103,3 +103,11 @@ def test_rounds_go_on_until_nothing_changes(spark):
     got = ids(spark, texts)
     for k in range(depth):
         assert [i for i, t in texts.items() if t.startswith(f"some link{steps[k]} ") and len(got[i]) != 1] == [], k
+
+
+def test_rows_without_keys_are_redacted(spark):
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [f"access token = {secret(i)} end" for i in range(8)] + ["access token = short-77 end", "mail a@b.com now", "clean"]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[8]), (1, texts[9])], "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.text) for r in P.redact(df, P.pii_spans(df)).collect())
+    assert out == sorted([(0, "access token = [id] end")] * 9 + [(0, "mail [email] now"), (0, "clean"), (1, "access token = [id] end"), (1, "mail [email] now")])

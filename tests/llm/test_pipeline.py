@@ -63,3 +63,15 @@ def test_run_and_empty(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(os.path.join(folder, f"{t}.parquet")).limit(0).write.parquet(os.path.join(top, f"{t}.parquet"))
     assert P.run(spark, top).count() == 0
+
+
+def test_documents_without_ids(spark, folder):
+    docs = spark.read.parquet(os.path.join(folder, "documents.parquet"))
+    extra = spark.createDataFrame([(None, "some calm words about a@b.com and rivers"), (None, "plain words about the hills and rivers")], "doc_id long, text string")
+    extra = extra.selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars").select(*docs.columns)
+    docs = docs.unionByName(extra)
+    hidden = {r.text for r in P.redacted(spark, docs, folder).where("doc_id is null").collect()}
+    assert hidden == {"some calm words about [email] and rivers", "plain words about the hills and rivers"}
+    rates = {r.doc_id: r.rate for r in P.mixing.mix(docs, spark.read.parquet(os.path.join(folder, "labels.parquet"))).collect()}
+    left = [r for r in P.mixed(spark, docs, folder).collect() if r.doc_id is None]
+    assert rates[None] > 0 and [r.rate for r in left] == [rates[None]] * 2
