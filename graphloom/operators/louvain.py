@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stage
 from .components import number
 
-#: Edges up to which the sequential form runs as one task.
-EXACT_EDGES = 200_000
-
 
 @dataclass(frozen=True)
 class Communities:
@@ -111,10 +108,10 @@ def _parallel(nodes: DataFrame, edges: DataFrame, max_iterations: int) -> tuple[
     return best.select("id", "c"), rounds
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, max_iterations: int = 100, exact: bool | None = None) -> Communities:
-    """Communities numbered from 0 in the order of their smallest member, and their modularity."""
-    if exact is None:
-        exact = edges.count() <= EXACT_EDGES
+def louvain(nodes: DataFrame, edges: DataFrame, max_iterations: int = 100, exact: bool = True) -> Communities:
+    """Communities numbered from 0 in the order of their smallest member, and their modularity.
+
+    The sequential form, one task, unless ``exact`` is false, at every size."""
     rows, rounds = (_sequential if exact else _parallel)(nodes, edges, max_iterations)
     least = stage(rows.groupBy("c").agg(F.min("id").alias("least")), "louvain-least", free=False)
     names = number(least.select("least"), "least", "community")

@@ -79,6 +79,11 @@ def _thin(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return g.vertex_frame(), stage(g.edge_frame(weight="weight"), "trade")
 
 
+def _trade(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    g = tables.trade_graph(spark, sf)
+    return g.vertex_frame(), stage(g.edge_frame(weight="weight"), "trade")
+
+
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     g = tables.part_graph(spark, sf)
     return g.vertex_frame(), stage(g.edge_frame(weight="weight"), "parts")
@@ -184,15 +189,15 @@ SELECT round(sum((1 - coalesce(x.d, 0) * coalesce(y.d, 0) / (2.0::DOUBLE * m)) /
 
 
 def q_louvain(spark, sf):
-    return louvain.louvain(*_thin(spark, sf)).assignment
+    return louvain.louvain(*_parts(spark, sf)).assignment
 
 
 def q_louvain_parallel(spark, sf):
-    return louvain.louvain(*_thin(spark, sf), max_iterations=10, exact=False).assignment
+    return louvain.louvain(*_parts(spark, sf), max_iterations=10, exact=False).assignment
 
 
 def q_node2vec(spark, sf):
-    return node2vec.node2vec(*_thin(spark, sf), walk_length=6, walks_per_node=4, p=0.5, q=2.0, seed=7)
+    return node2vec.node2vec(*_trade(spark, sf), walk_length=6, walks_per_node=4, p=0.5, q=2.0, seed=7)
 
 
 def q_node2vec_counts(spark, sf):

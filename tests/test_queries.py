@@ -108,3 +108,26 @@ def test_plans(spark):
     assert "GreaterThan(c_acctbal,9000" in plan and "EqualTo(c_mktsegment,BUILDING)" in plan and "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in plan
     plan = g.explain("MATCH (c:Customer)-[:PLACED]->(o:Order)-[i:CONTAINS]->(p) WHERE c.nationkey = 1 RETURN sum(i.quantity) AS q")
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "part.parquet" not in plan and plan.count("ReadSchema") == 3
+
+
+def test_louvain_and_walks_use_whole_graphs(spark):
+    from graphloom import queries as Q
+    from graphloom.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    parts = {f"Part:{r[0]}" for r in tables.read(spark, sf, "part").select("p_partkey").collect()}
+    for q in (Q.q_louvain, Q.q_louvain_parallel):
+        assert {r.id for r in q(spark, sf).collect()} == parts
+    linked = {(f"Nation:{r.src}", f"Nation:{r.dst}") for r in tables.trades_with(spark, sf).collect()}
+    kept = {(f"Nation:{r.src}", f"Nation:{r.dst}") for r in tables.trades_with(spark, sf, tables.TOP_PARTNERS).collect()}
+    at = {(r.start, r.walk, r.step): r.id for r in Q.q_node2vec(spark, sf).collect()}
+    used = {(at[s, w, i], b) for (s, w, i1), b in at.items() if i1 for i in [i1 - 1]}
+    assert used <= linked and used - kept
+
+
+def test_louvain_has_one_default():
+    import inspect
+
+    from graphloom.operators import louvain
+
+    assert inspect.signature(louvain.louvain).parameters["exact"].default is True
