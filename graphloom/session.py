@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that drops the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _held(spark: SparkSession, setting: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block."""
+    old = spark.conf.get(setting, None)
+    spark.conf.set(setting, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if old is None else spark.conf.set(setting, old)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,19 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts the lineage.
 
-    Files in the shared folder outlive executors; with ``free`` the shuffle files of what was written
-    are released as soon as Spark's cleaner sees that nothing refers to them.
+    Files in the shared folder outlive executors; with ``free`` Spark removes the shuffle files of what was
+    written as soon as the write is over.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    if free:  # twice, as what finalizers hold goes only with the second collection
-        for pause in (0.2, 0.0):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(pause)
+    with _held(spark, _CLEAN, "true") if free else nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
