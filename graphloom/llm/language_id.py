@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text as X
-from ._session import stage, tune
+from ._session import in_one_task, sampled, stage, tune
 
-#: Bounds of the labelled sample (rows and characters of each), buckets of the grams, and the model's strengths.
-TRAIN_ROWS, TRAIN_BYTES, BITS = 4000, 1 << 14, 16
+#: Bound of the labelled sample, buckets of the grams, and the model's strengths.
+TRAIN_ROWS, BITS = 4000, 16
 TEXT_GRAMS, SHRINK, DECLARED_SMOOTH = 40, 5.0, 1.0
 
 
@@ -154,13 +154,14 @@ def document_records(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", label: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and gram weights from at most ``TRAIN_ROWS`` labelled documents, those of the smallest key hash."""
-    known = docs.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"))
-    picked = known.orderBy(F.xxhash64("k"), "k", "y").limit(TRAIN_ROWS).distinct()  # keys first: no task sends texts that are not used
-    texts = docs.select(F.col(key).alias("k"), F.col(label).alias("y"), F.substring(F.col("text").cast("string"), 1, TRAIN_BYTES).alias("t"))
-    rows = texts.join(F.broadcast(picked), ["k", "y"]).collect()
-    languages = sorted({r["y"] for r in rows}) or ["und"]
-    return languages, train([r["t"] or "" for r in rows], [r["y"] for r in rows], languages)
+    """Languages and gram weights from at most ``TRAIN_ROWS`` labelled documents, whole, those of the smallest key hash."""
+    known = docs.select(F.col(key).alias("k"), F.col(label).cast("string").alias("y")).where(F.col("y").isNotNull())
+
+    def work(found: list[dict]) -> tuple[list[str], np.ndarray]:
+        languages = sorted({r["y"] for r in found}) or ["und"]
+        return languages, train([r["t"] or "" for r in found], [r["y"] for r in found], languages)
+
+    return in_one_task(sampled(docs, known, TRAIN_ROWS, key=key), work)
 
 
 def identify(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

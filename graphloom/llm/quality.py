@@ -1,19 +1,20 @@
 """Quality rules: base counts of a text plus a calibrated hashed n-gram logistic regression.
 
-The model sees hashed words and hashed byte 4-grams (runs of four UTF-8 bytes), each family as its mean
-weight over the text.  It is trained in numpy on labelled rows (at most ``TRAIN_ROWS``, the ones with the
-smallest key hash, a documented bound), and a Platt scale is fitted on held-out labelled rows.  Texts are
-scored whole, in Arrow batches, against fixed thresholds.
+The model sees hashed words, pairs of neighbouring words and character n-grams (runs of four code points), each
+family as its mean weight over the text.  It is trained in numpy, in one task, on whole labelled rows (at most
+``TRAIN_ROWS``, the ones with the smallest key hash, a documented bound), and a Platt scale is fitted on held-out
+labelled rows.  Texts are scored whole, in Arrow batches, against fixed thresholds.
 
 Defined cases: null and empty texts have no words, so they fail the base rules and are not kept; equal
 texts get equal verdicts; an empty label table gives a model that keeps whatever passes the base rules;
-labels of null are ignored, and a key with clashing labels counts once for each; extra columns are ignored.
+labels of null are ignored, and a key with clashing labels counts once for each; rows that share or lack a key are
+scored one by one, by their own texts; very long texts are scored whole, one at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text as X
-from ._session import tune
+from ._session import in_one_task, sampled, tune
 
-#: Bound of the labelled training sample, and of the characters of one text that training (not scoring) looks at.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 16
-#: Hash buckets of either feature family.
-BITS = 15
+#: Bound of the labelled training sample.
+TRAIN_ROWS = 4000
+#: Hash buckets of each feature family, code points of a character n-gram, and the families (words, word pairs, characters).
+BITS, CHARS, FAMILIES = 15, 4, 3
 #: Fixed limits.
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_PROBABILITY = 10, 20, 0.5
 REPEAT_WINDOW = 5
@@ -86,24 +87,24 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def features(chunk: X.Chunk, w: X.Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each feature, bounds of the rows) for words and for byte 4-grams."""
-    word = (X.word_hashes(chunk, w) >> np.uint64(64 - BITS)).astype(np.int32)
-    d = chunk.data.astype(np.uint32)
-    if len(d) < 4:
-        return [(word, w.bounds), (np.zeros(0, np.int32), np.zeros(chunk.rows + 1, np.int64))]
-    gram = d[:-3] | (d[1:-2] << np.uint32(8)) | (d[2:-1] << np.uint32(16)) | (d[3:] << np.uint32(24))
-    gram = ((gram * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32)
-    inside = np.ones(len(gram), bool)
-    for back in (1, 2, 3):
-        cut = chunk.offsets[1:-1] - back
-        inside[cut[(cut >= 0) & (cut < len(gram))]] = False
-    kept = np.concatenate([[0], np.cumsum(inside)])
-    return [(word, w.bounds), (gram[inside], kept[np.minimum(chunk.offsets, len(gram))])]
+    """(bucket of each feature, bounds of the rows) for words, word pairs and runs of ``CHARS`` code points, A-Z lower-cased."""
+    prefix = X.prefix_hash(X.LOWER[chunk.data])
+    hashes = X.span_hash(prefix, w.start, w.end)
+    pair, row, _ = X.shingles(hashes, w, 2)
+    first = np.flatnonzero((chunk.data & 0xC0) != 0x80)  # where code points start
+    bounds = np.searchsorted(first, chunk.offsets)
+    count = np.maximum(0, np.diff(bounds) - CHARS + 1)
+    kept = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(kept[-1]) - np.repeat(kept[:-1], count) + np.repeat(bounds[:-1], count)
+    ends = np.append(first, len(chunk.data))
+    gram = X.span_hash(prefix, first[at], ends[at + CHARS])
+    shift = np.uint64(64 - BITS)
+    return [((hashes >> shift).astype(np.int32), w.bounds), ((pair >> shift).astype(np.int32), np.searchsorted(row, np.arange(chunk.rows + 1))), ((gram >> shift).astype(np.int32), kept)]
 
 
 @dataclass
 class QualityModel:
-    weights: np.ndarray  # (2, 2**BITS) float32
+    weights: np.ndarray  # (FAMILIES, 2**BITS) float32
     bias: float
     slope: float = 1.0
     shift: float = 0.0
@@ -121,40 +122,47 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(chunk, w) + self.shift, -40, 40)))
 
 
+def _sparse(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, bucket, mean weight) of the distinct features of each family over all texts."""
+    parts: list[list] = [[] for _ in range(FAMILIES)]
+    for chunk in X.chunks(pa.array(texts, pa.string())):
+        for part, (idx, bounds) in zip(parts, features(chunk, X.words(chunk))):
+            n = np.diff(bounds)
+            pairs, count = np.unique((np.repeat(np.arange(chunk.rows), n) << BITS) | idx, return_counts=True)
+            row = pairs >> BITS
+            part.append(((row + chunk.first).astype(np.int32), (pairs & ((1 << BITS) - 1)).astype(np.int32), (_SCALE * count / n[row]).astype(np.float32)))
+    return [tuple(np.concatenate([p[k] for p in part]) for k in range(3)) for part in parts]
+
+
 def train(texts: list[str], y: np.ndarray, epochs: int = 80, l2: float = 1e-4) -> QualityModel:
     """Full-batch Adam on four fifths of the rows; Platt scaling on the last fifth."""
     y = np.asarray(y, np.float64)
     if len(set(y.tolist())) < 2:
-        return QualityModel(np.zeros((2, 1 << BITS), np.float32), 0.0, empty=not len(y) or bool(y[0] == 1))
-    parts = []
-    for chunk in X.chunks(pa.array(texts, pa.string())):
-        parts.append((chunk, features(chunk, X.words(chunk))))
-    idx = [np.concatenate([f[k][0] for _, f in parts]) for k in (0, 1)]
-    n = [np.concatenate([np.diff(f[k][1]) for _, f in parts]) for k in (0, 1)]
-    bounds = [np.concatenate([[0], np.cumsum(c)]) for c in n]
+        return QualityModel(np.zeros((FAMILIES, 1 << BITS), np.float32), 0.0, empty=not len(y) or bool(y[0] == 1))
+    parts = _sparse(texts)
     fit = np.arange(len(y)) % 5 != 4
     if len(set(y[fit].tolist())) < 2:
         fit[:] = True
-    value = [np.repeat((_SCALE / np.maximum(1, c)).astype(np.float32), c) for c in n]
-    weight, bias = np.zeros((2, 1 << BITS)), 0.0
+    weight, bias = np.zeros((FAMILIES, 1 << BITS)), 0.0
     m, v, mb, vb = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
     balance = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
 
     def logits() -> np.ndarray:
-        return bias + sum(_per_row((weight[k].astype(np.float32)[idx[k]] * value[k]).astype(np.float64), bounds[k]) for k in (0, 1))
+        return bias + sum(np.bincount(row, weight[k][idx] * value, len(y)) for k, (row, idx, value) in enumerate(parts))
 
     for t in range(1, epochs + 1):
         p = 1 / (1 + np.exp(-np.clip(logits(), -40, 40)))
         g = (p - y) * balance
-        grad = np.stack([np.bincount(idx[k], np.repeat(g, n[k]) * value[k], 1 << BITS) for k in (0, 1)]) + l2 * weight
+        grad = np.stack([np.bincount(idx, g[row] * value, 1 << BITS) for row, idx, value in parts]) + l2 * weight
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         weight -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
         bias -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
+    weight = weight.astype(np.float32)
     z = logits()
     held = ~fit if len(set(y[~fit].tolist())) == 2 else fit
     slope, shift = platt(z[held], y[held])
-    return QualityModel(weight.astype(np.float32), float(bias), slope, shift)
+    return QualityModel(weight, float(bias), slope, shift)
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -173,20 +181,21 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, where=None, chars: int | None = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts, those with the smallest key hash (labels picked before texts are read); whole if ``chars`` is None."""
-    picked = labels.select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isNotNull())
+def learned(docs: DataFrame, labels: DataFrame, label: str, train: Callable, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, where=None) -> object:
+    """``train(texts, y)`` on at most ``rows`` labelled texts, whole, in one task; the driver sees the result only."""
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull())
     if where is not None:
-        picked = picked.where(where(F.col("_k")))
-    picked = picked.orderBy(F.xxhash64("_k"), "_k", "_y").limit(rows)
-    whole = F.col(text).cast("string")
-    found = docs.select(F.col(key).alias("_k"), (whole if chars is None else F.substring(whole, 1, chars)).alias("_t")).join(F.broadcast(picked), "_k").select("_k", "_t", "_y").collect()
-    found = sorted(found, key=lambda r: (r["_k"], r["_y"], r["_t"] or ""))
-    return [r["_t"] or "" for r in found], np.array([r["_y"] for r in found])
+        known = known.where(where(F.col("k")))
+
+    def work(found: list[dict]) -> object:
+        found.sort(key=lambda r: (r["k"], r["y"], r["t"] or ""))
+        return train([r["t"] or "" for r in found], np.array([r["y"] for r in found]))
+
+    return in_one_task(sampled(docs, known, rows, text, key), work)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> QualityModel:
-    return train(*labelled_sample(docs, labels, "quality", key, text))
+    return learned(docs, labels, "quality", train, key, text)
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
@@ -195,7 +204,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def quality_rules(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text", threshold: float = KEEP_PROBABILITY) -> DataFrame:
     """The key, the base counts, base_failed, kept and the calibrated probability of each row."""
     tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FAMILIES * 2**BITS floats
     kind = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

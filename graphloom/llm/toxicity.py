@@ -10,8 +10,8 @@ has the mean score of its two highest windows, Platt-scaled.
 Training learns from windows of labelled documents: first every window has its document's label, then in
 positive documents only windows that score high keep it (multiple-instance relabelling).  The sample
 is bounded by rows only: ``TRAIN_ROWS`` labelled documents (smallest key hash), each with all its windows; the
-Platt scale and the floor are fitted on the scores of whole texts.  Scoring
-is not bounded: whole texts, in Arrow batches, with memory in proportion to a chunk of about a megabyte.
+Platt scale and the floor are fitted on the scores of whole texts.  One task trains, and the driver receives the
+parameters alone.  Scoring is not bounded: whole texts, in Arrow batches, with memory in proportion to a chunk of about a megabyte.
 
 Defined cases: null, empty and word-less texts get the lowest score seen in training; without labels of both
 kinds every score is 0; equal texts get equal scores; null labels and keys are ignored in training; repeated
@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import _text as X
 from ._session import tune
 from .decontaminate import GAP
-from .quality import labelled_sample, platt
+from .quality import learned, platt
 
 LENGTH, STRIDE, HIDDEN, INPUT, ATTEND = 32, 24, 8, 12, 8
 #: Buckets of the byte grams; a word has its own embedding if this many training documents hold it.
-CHAR_BITS, MIN_DOCS = 17, 4
-TRAIN_ROWS, EPOCHS, BATCH, NEGATIVES = 3500, 12, 512, 6000
+CHAR_BITS, MIN_DOCS = 18, 4
+TRAIN_ROWS, EPOCHS, BATCH, NEGATIVES = 4000, 12, 512, 6000
 THRESHOLD, WORDS_AT_ONCE = 0.3, 1 << 14
 _F = np.float32
 
@@ -369,7 +369,7 @@ def _part(v: Vocabulary, idx: np.ndarray) -> tuple[Vocabulary, np.ndarray, np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", where=None) -> ToxicityModel:
     """Train on labelled rows outside the held-out fold (``where`` replaces that condition)."""
-    return train(*labelled_sample(docs, labels, "toxic", key, text, TRAIN_ROWS, where or (lambda k: ~held_out(k)), None))
+    return learned(docs, labels, "toxic", train, key, text, TRAIN_ROWS, where or (lambda k: ~held_out(k)))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -85,10 +85,9 @@ def test_training_reads_whole_texts(spark, monkeypatch):
     v, idx, row = T._merge([plain, late])
     want = [len(T.window_index(T.vocabulary(next(X.chunks(pa.array([t])))))[0]) for t in (plain, late)]
     assert np.bincount(row).tolist() == want
-    seen = {}
-    monkeypatch.setattr(T, "train", lambda texts, y: seen.update(zip(y.tolist(), texts)))
+    monkeypatch.setattr(T, "train", lambda texts, y: dict(zip(y.tolist(), texts)))  # in a task, so the result is what comes back
     docs = spark.createDataFrame([(0, plain), (1, late)], "doc_id long, text string")
-    T.fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"), where=lambda k: k.isNotNull())
+    seen = T.fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"), where=lambda k: k.isNotNull())
     assert seen == {0.0: plain, 1.0: late}
 
 
