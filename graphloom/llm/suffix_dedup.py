@@ -6,21 +6,27 @@ is removed; strings are judged on the input, overlaps count, and no string cross
 1. *Suffix buckets.*  The suffix that starts at p goes to the bucket of its window's anchor, the leftmost
    minimal k-gram hash in ``[p, p + length)``.  Equal windows have equal anchors at equal offsets, so equal
    windows always meet in one bucket.  Neighbouring suffixes of one anchor form a *unit*; about one unit
-   stands for every 75 suffixes, and only units are shuffled.  Buckets of a single unit are dropped.
+   stands for every 75 suffixes, and only units are shuffled, those of a batch that are alike as one row with
+   a list of places.  Buckets of a single unit are dropped.
 2. *Units that repeat as a whole* (same anchor, offsets and bytes, by two independent 64-bit hashes) are
    settled by a pre-aggregated count.  What is left are the distinct units at the edges of repeats.
-3. *Bucket sort.*  The bytes of those units are fetched, and buckets are sorted a block at a time.  Suffixes
-   are refined by their first and last v bytes; long ties are resolved by the ranks of a sample of
-   positions, those whose residue mod v lies in a difference cover, computed once per block by doubling
-   to 4v bytes.  For two tied suffixes some d < v puts both p + d and q + d into the sample, so comparing
-   sample ranks at each d settles every tie, and a block never needs more than its own few megabytes.
-4. *Hot buckets* (over ``HOT`` distinct units) never meet in one task.  Their units are cut into cells of ``CELL``
-   suffixes, a cell's bucket being the bytes that its suffixes' strings share, and settled in the same way; the
-   suffixes of the cells that are still open are counted by window hash, all with map-side aggregation.
-
-Defined cases: null and empty texts, and texts under ``length`` bytes, keep all their bytes; a repeated row
-is a document of its own (so both copies lose their repeats); a row with a null key takes no part
-and keeps all its bytes; keys are otherwise unique; extra columns are ignored; empty tables give empty results.
+3. *Cells.*  The bytes of those units are fetched and cut into cells of ``CELL`` suffixes.  A cell's bucket is the
+   bytes that its suffixes' strings share, so buckets get smaller by far; cells are settled as units are.
+4. *Bucket sort.*  The cells that are still open are sorted a block at a time, bucket by bucket.  Suffixes are
+   refined by their first and last v bytes; long ties are resolved by the ranks of a sample of positions,
+   those whose residue mod v lies in a difference cover, computed once per block by doubling to 4v bytes.
+   For two tied suffixes some d < v puts both p + d and q + d into the sample, so comparing sample ranks at
+   each d settles every tie, and a block never needs more than its own megabyte or so.  A block may end inside a
+   bucket, so a bucket of any size is dealt over many tasks: what is alone in its block is counted
+   once more over all blocks by window hash.
+
+Every bucket takes these same steps, whatever its size.
+
+Defined cases: null and empty texts, and texts under ``length`` bytes, keep all their bytes; every row is numbered and
+is a document of its own, whether it repeats another, shares its key with other texts or has no key (so both copies
+of a text lose their repeats); a very long text is cut into segments of ``SEGMENT`` starts that overlap by
+``length - 1`` bytes, and its spans are gathered in one row, some 16 bytes for each 75 of its own; extra columns
+are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,14 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text as X
 from ._session import stage, tune
 
-#: Distinct units from which a bucket is split; units of one sorted block; window starts per segment of a long text; suffixes of a cell.
-HOT, BLOCK, SEGMENT, CELL = 512, 4096, 1 << 19, 12
+#: Cells of one sorted block; window starts per segment of a long text; suffixes of a cell; units or cells grouped at once.
+BLOCK, SEGMENT, CELL, GROUP = 4096, 1 << 19, 12, 1 << 17
 _POS = np.uint64((1 << 20) - 1)
 
 
@@ -102,35 +107,57 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 24, (at >> 12) & 4095, at & 4095
 
 
+def _grouped(parts: Iterator[dict[str, np.ndarray]], places: list[str]) -> Iterator[pa.RecordBatch]:
+    """(bucket, cls, places): one row for each distinct (bucket, cls) of about ``GROUP`` rows, so that what repeats comes
+    together before any shuffle."""
+
+    def batch(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        x = {k: np.concatenate([p[k] for p in held]) for k in held[0]}
+        order = np.lexsort((x["cls"], x["bucket"]))
+        x = {k: v[order] for k, v in x.items()}
+        first = X.runs(x["bucket"], x["cls"])
+        fields = pa.StructArray.from_arrays([pa.array(x[k].astype(np.int64)) for k in places], places)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), fields)
+        return pa.RecordBatch.from_arrays([pa.array(x[k][first].view(np.int64)) for k in ("bucket", "cls")] + [lists], ["bucket", "cls", "places"])
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part["bucket"])
+        if size >= GROUP:
+            yield batch(held)
+            held, size = [], 0
+    if size:
+        yield batch(held)
+
+
 def _unit_rows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grouped units of (row, text) batches; places: row, at."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
+            rows = batch.column(0).to_numpy()
             for chunk in X.chunks(batch.column(1)):
-                keys = batch.column(0).slice(chunk.first, chunk.rows)
                 for data, offsets, base in _segments(chunk, length):
                     row, lo, count, back, bucket, cls = units(data, offsets, length)
-                    if len(row):
-                        at = _pack(lo - offsets[row] + base, back, count)
-                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(bucket.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(at)], ["key", "bucket", "cls", "at"])
+                    yield {"bucket": bucket, "cls": cls, "row": rows[chunk.first + row], "at": _pack(lo - offsets[row] + base, back, count)}
 
-    return run
+    return lambda batches: _grouped(parts(batches), ["row", "at"])
 
 
 def _unit_bytes(length: int):
-    """(key, bucket, hot, at, bytes) of the wanted units of each joined document."""
+    """(row, bucket, at, bytes) of the wanted units of each joined document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2)):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            out: list[list] = [[], [], [], []]
+            for row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                raw = memoryview(text.as_buffer())
                 for u in wanted.as_py():
                     lo, count = u["at"] >> 24, u["at"] & 4095
-                    piece = raw[lo : lo + count + length - 1]
-                    if len(piece) == count + length - 1:
-                        for col, x in zip(out, (key.as_py(), u["bucket"], u["hot"], u["at"], piece)):
-                            col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["key", "bucket", "hot", "at", "bytes"])
+                    for col, x in zip(out, (row, u["bucket"], u["at"], raw[lo : lo + count + length - 1])):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array([bytes(x) for x in out[3]], pa.binary())], ["row", "bucket", "at", "bytes"])
 
     return run
 
@@ -187,134 +214,127 @@ def repeated_suffixes(data: np.ndarray, offsets: np.ndarray, bucket: np.ndarray,
 
 
 def _sort_blocks(length: int):
+    """(bucket, window, row, start, twice) of each suffix: whether its string stands twice in its sorted block."""
+
     def solve(block: pa.Table) -> pa.RecordBatch:
-        col = block.column("bytes").combine_chunks()
-        chunk = next(X.chunks(col, 1 << 40))
-        _, bucket = np.unique(block.column("bucket").to_numpy(), return_inverse=True)
+        chunk = next(X.chunks(block.column("bytes").combine_chunks(), 1 << 40))
+        buckets = block.column("bucket").to_numpy()
+        _, bucket = np.unique(buckets, return_inverse=True)
         hits = repeated_suffixes(chunk.data, chunk.offsets, bucket, length)
-        at = np.flatnonzero(hits)
-        unit = np.searchsorted(chunk.offsets, at, "right") - 1
-        lead = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(unit) != 0)])[: len(at)]
-        first = np.flatnonzero(lead)
-        count = np.diff(np.append(first, len(at)))
-        lo, _, _ = _unpack(block.column("at").to_numpy())
-        start = lo[unit[first]] + at[first] - chunk.offsets[unit[first]]
-        keys = block.column("key").combine_chunks().take(pa.array(unit[first]))
-        return pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(count + length - 1)], ["key", "start", "size"])
+        n = np.diff(chunk.offsets) - length + 1
+        cell = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)
+        p = chunk.offsets[cell] + inner
+        window = X.span_hash(X.prefix_hash(chunk.data), p, p + length)
+        row, start = (block.column(k).to_numpy() for k in ("row", "start"))
+        cols = [buckets[cell], window.view(np.int64), row[cell], start[cell] + inner, hits[p]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "window", "row", "start", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            while held.num_rows >= 2 * BLOCK:
-                b = held.column("bucket").to_numpy()
-                ends = X.runs(b)
-                cut = int(ends[max(1, np.searchsorted(ends, BLOCK, "right") - 1)]) if len(ends) > 1 else 0
-                if not cut:
-                    break
-                yield solve(held.slice(0, cut))
-                held = held.slice(cut).combine_chunks()
+            while held.num_rows >= BLOCK:
+                yield solve(held.slice(0, BLOCK))
+                held = held.slice(BLOCK).combine_chunks()
         if held is not None and held.num_rows:
             yield solve(held)
 
     return run
 
 
+def _cells(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(unit, cell, nearest and farthest distance to the anchor) of the cells of some units."""
+    _, back, count = _unpack(at)
+    low, high = (back - count + 1) // CELL, back // CELL
+    n = high - low + 1
+    unit = np.repeat(np.arange(len(at)), n)
+    c = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n) + low[unit]
+    return unit, c, np.maximum(c * CELL, (back - count + 1)[unit]), np.minimum(c * CELL + CELL - 1, back[unit])
+
+
 def _cell_rows(length: int):
-    """(key, bucket, cls, at, cell, start, size) of each cell of hot units.
+    """Grouped cells of (row, bucket, at, bytes) batches; places: row, at, cell, start, size.
 
     A cell holds the suffixes whose distance to the anchor is in ``[CELL * c, CELL * (c + 1))``.  Its bucket is
     the hash of the bytes that all its suffixes' strings share; its class that of all its bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
             for chunk in X.chunks(batch.column(3)):
-                rows = slice(chunk.first, chunk.first + chunk.rows)
-                lo, back, count = _unpack(batch.column(2).to_numpy()[rows])
-                low, high = (back - count + 1) // CELL, back // CELL
-                n = high - low + 1
-                unit = np.repeat(np.arange(chunk.rows), n)
-                c = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n) + low[unit]
-                near, far = np.maximum(c * CELL, (back - count + 1)[unit]), np.minimum(c * CELL + CELL - 1, back[unit])
+                rows, buckets, at = (batch.column(k).to_numpy()[chunk.first : chunk.first + chunk.rows] for k in range(3))
+                lo, back, _ = _unpack(at)
+                unit, c, near, far = _cells(at)
                 anchor = chunk.offsets[unit] + back[unit]
                 prefix = X.prefix_hash(chunk.data)
-                tag = c.astype(np.uint64)
                 with np.errstate(over="ignore"):
-                    shared = X.mix(X.span_hash(prefix, anchor - c * CELL, anchor - c * CELL - CELL + 1 + length) + tag + batch.column(1).to_numpy()[rows][unit].view(np.uint64))
+                    shared = X.mix(X.span_hash(prefix, anchor - c * CELL, anchor - c * CELL - CELL + 1 + length) + c.astype(np.uint64) + buckets[unit].view(np.uint64))
                     whole = X.mix(X.span_hash(prefix, anchor - far, anchor - near + length) * np.uint64(0x9FB21C651E98DF25) + (far * 4096 + near).astype(np.uint64))
-                take = pa.array(unit + chunk.first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(2).take(take), pa.array(c.astype(np.int32)), pa.array(lo[unit] + back[unit] - far), pa.array(far - near + length)],
-                    ["key", "bucket", "cls", "at", "cell", "start", "size"],
-                )
+                yield {"bucket": shared, "cls": whole, "row": rows[unit], "at": at[unit], "cell": c, "start": lo[unit] + back[unit] - far, "size": far - near + length}
 
-    return run
+    return lambda batches: _grouped(parts(batches), ["row", "at", "cell", "start", "size"])
 
 
-def _window_rows(length: int):
-    """(key, bucket, window hash, start) of each suffix in the open cells of hot units."""
+def _cell_bytes():
+    """(bucket, row, start, bytes) of the open cells of (row, bytes, cells) batches; cells: bucket, start in the unit and in the text, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in X.chunks(batch.column(3)):
-                rows = slice(chunk.first, chunk.first + chunk.rows)
-                lo, back, count = _unpack(batch.column(2).to_numpy()[rows])
-                cells = batch.column(4).slice(chunk.first, chunk.rows)
-                unit = np.repeat(np.arange(chunk.rows), pa.compute.list_value_length(cells).to_numpy())
-                c = cells.flatten().to_numpy().astype(np.int64)
-                near, far = np.maximum(c * CELL, (back - count + 1)[unit]), np.minimum(c * CELL + CELL - 1, back[unit])
-                n = far - near + 1
-                of = np.repeat(unit, n)
-                x = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(near, n)
-                p = chunk.offsets[of] + back[of] - x
-                h = X.span_hash(X.prefix_hash(chunk.data), p, p + length)
-                take = pa.array(of + chunk.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(lo[of] + back[of] - x)], ["key", "bucket", "window", "start"])
+            out: list[list] = [[], [], [], []]
+            for row, raw, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for c in cells:
+                    for col, x in zip(out, (c["bucket"], row, c["start"], raw[c["inner"] : c["inner"] + c["size"]])):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["bucket", "row", "start", "bytes"])
 
     return run
 
 
-def _settle(rows: DataFrame, rest: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose class occurs twice, one row of each class of the buckets that stay open).
+def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(places of classes that occur twice, one place of each class of the buckets that stay open, with its bucket).
 
-    ``rows`` has bucket, cls and ``rest``; a bucket of one class is settled, and so is one whose classes all
-    repeat.  Every side that can be hot is counted with map-side aggregation or read as a table, so that
-    its join can be split."""
-    shared = stage(rows.groupBy("bucket").count().where("count > 1").select("bucket"), f"{name}-buckets")
+    ``rows`` has bucket, cls and places; a bucket of one class is settled, and so is one whose classes all
+    repeat.  Rows are grouped before they are shuffled, counts combine map-side, and sides that can be hot are
+    read as tables, so that their joins can be split."""
+    n = F.sum(F.size("places")).alias("n")
+    shared = stage(rows.groupBy("bucket").agg(n).where("n > 1").select("bucket"), f"{name}-buckets")
     rows = stage(rows.join(shared, "bucket"), f"{name}-rows")
-    classes = stage(rows.groupBy("bucket", "cls").agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("rep")), f"{name}-classes")
-    whole = rows.join(classes.where("n > 1").select("bucket", "cls"), ["bucket", "cls"])
+    classes = stage(rows.groupBy("bucket", "cls").agg(n, F.min(F.element_at("places", 1)).alias("rep")), f"{name}-classes")
+    whole = rows.join(classes.where("n > 1").select("bucket", "cls"), ["bucket", "cls"]).select(F.explode("places").alias("p")).select("p.*")
     mixed = classes.groupBy("bucket").agg(F.count("*").alias("distinct"), F.min("n").alias("least")).where("distinct > 1 and least = 1")
-    mixed = stage(mixed.select("bucket", "distinct"), f"{name}-mixed", free=False)
-    return whole, classes.join(mixed, "bucket").select("bucket", "distinct", "rep.*")
+    mixed = stage(mixed.select("bucket"), f"{name}-mixed", free=False)
+    return whole, classes.join(mixed, "bucket").select("bucket", "rep.*")
+
 
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, text), written, so that each row keeps its own number whatever its key."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "suffix-texts")
 
-def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, size) byte spans, overlapping or not, that cover exactly the repeated strings."""
+
+def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
+    """(row, start, size) byte spans, overlapping or not, that cover exactly the repeated strings of (row, text)."""
     if length % 40:
         raise ValueError("length must be a multiple of 40")
-    tune(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = texts.where((F.octet_length("text") >= length) & F.col("key").isNotNull()).mapInArrow(_unit_rows(length), f"key {kind}, bucket long, cls long, at long")
-    spans = f"key {kind}, start long, size long"
-    size = (F.col("at").bitwiseAND(4095) + (length - 1)).alias("size")
-    whole, reps = _settle(rows, ["key", "at"], "suffix-units")
-    wanted = reps.select("key", F.struct("bucket", "at", (F.col("distinct") > HOT).alias("hot")).alias("u")).groupBy("key").agg(F.collect_list("u").alias("wanted"))
-    edges = stage(texts.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_unit_bytes(length), f"key {kind}, bucket long, hot boolean, at long, bytes binary"), "suffix-edges")
-    calm = edges.where("not hot").select("key", "bucket", "at", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks(length), spans)
-    found = whole.select("key", F.shiftright("at", 24).alias("start"), size).unionByName(calm)
-    hot = edges.where("hot").select("key", "bucket", "at", "bytes")
-    if not hot.limit(1).count():
-        return found
-    cells = hot.mapInArrow(_cell_rows(length), f"key {kind}, bucket long, cls long, at long, cell int, start long, size long")
-    whole, reps = _settle(cells, ["key", "at", "cell", "start", "size"], "suffix-cells")
-    cells = reps.groupBy("key", "at").agg(F.collect_set("cell").alias("cells"))
-    windows = hot.join(cells, ["key", "at"]).select("key", "bucket", "at", "bytes", "cells").mapInArrow(_window_rows(length), f"key {kind}, bucket long, window long, start long")
-    twice = stage(windows.groupBy("bucket", "window").count().where("count > 1").select("bucket", "window"), "suffix-windows")
-    last = windows.join(twice, ["bucket", "window"]).select("key", "start", F.lit(length).cast("long").alias("size"))
-    return found.unionByName(whole.select("key", "start", "size")).unionByName(last)
+    tune(texts.sparkSession)
+    texts = texts.where(F.octet_length("text") >= length).select("row", "text")
+    units = texts.mapInArrow(_unit_rows(length), "bucket long, cls long, places array<struct<row: long, at: long>>")
+    whole, reps = _settle(units, "suffix-units")
+    found = whole.select("row", F.shiftright("at", 24).alias("start"), (F.col("at").bitwiseAND(4095) + (length - 1)).alias("size"))
+    wanted = reps.groupBy("row").agg(F.collect_list(F.struct("bucket", "at")).alias("wanted"))
+    edges = stage(texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_unit_bytes(length), "row long, bucket long, at long, bytes binary"), "suffix-edges")
+    cells = edges.mapInArrow(_cell_rows(length), "bucket long, cls long, places array<struct<row: long, at: long, cell: long, start: long, size: long>>")
+    whole, reps = _settle(cells, "suffix-cells")
+    found = found.unionByName(whole.select("row", "start", "size"))
+    inner = (F.col("start") - F.shiftright("at", 24)).alias("inner")
+    reps = reps.groupBy("row", "at").agg(F.collect_list(F.struct("bucket", inner, "start", "size")).alias("cells"))  # a dozen of a unit at most
+    cells = edges.join(reps, ["row", "at"]).select("row", "bytes", "cells").mapInArrow(_cell_bytes(), "bucket long, row long, start long, bytes binary")
+    blocks = cells.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket")
+    suffixes = stage(blocks.mapInArrow(_sort_blocks(length), "bucket long, window long, row long, start long, twice boolean"), "suffix-sorted")
+    across = suffixes.groupBy("bucket", "window").agg(F.count("*").alias("n"), F.bool_or(~F.col("twice")).alias("alone")).where("n > 1 and alone")
+    late = suffixes.where("not twice").join(across.select("bucket", "window"), ["bucket", "window"])
+    size = F.lit(length).cast("long").alias("size")
+    return found.unionByName(suffixes.where("twice").select("row", "start", size)).unionByName(late.select("row", "start", size))
 
 
 def _cut(n_kept: bool):
@@ -344,11 +364,11 @@ def _cut(n_kept: bool):
 
 def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` holds the remaining bytes, if asked for."""
-    spans = stage(repeated_spans(docs, length, key, text), "suffix-spans")
-    by_key = spans.groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    texts = numbered(docs, key, text)
+    spans = stage(repeated_spans(texts, length), "suffix-spans")
+    by_row = spans.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    out = texts.join(by_key, "key", "left").select("key", "text", "spans").mapInArrow(_cut(with_bytes), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = texts.join(by_row, "row", "left").select("key", "text", "spans").mapInArrow(_cut(with_bytes), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("key", key)
 
 
