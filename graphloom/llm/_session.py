@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import shared_dir, unstage
 from ..session import stage as _stage
 
-__all__ = ["ARROW_ROWS", "in_one_task", "sampled", "shared_dir", "stage", "tune", "unstage"]
+__all__ = ["ARROW_ROWS", "in_one_task", "numbered", "sampled", "shared_dir", "stage", "tune", "unstage"]
 
 #: Rows an Arrow batch carries at most; texts are long, so batches are kept short.
 ARROW_ROWS = 1000
@@ -27,6 +27,11 @@ def stage(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     return _stage(df, name, free)
 
 
+def numbered(docs: DataFrame, name: str, **columns: str) -> DataFrame:
+    """``row`` and the named columns (new name = old one), written, so that each row keeps its own number whatever its key."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(old).alias(new) for new, old in columns.items()]), name)
+
+
 def sampled(docs: DataFrame, keys: DataFrame, rows: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """At most ``rows`` rows (k, the other columns of ``keys``, t): whole texts of the keys with the smallest hash.
 

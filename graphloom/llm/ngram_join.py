@@ -11,17 +11,21 @@ ranks; any order gives the same result.
 * *Filter by whole sets.*  For the sets that are left, all n-grams are counted exactly; a set of which fewer than
   ``ceil(t n)`` are shared with any other of them cannot link either.
 * *Candidates.*  The order is now exact (rarest first), and two linked sets share one of their first
-  ``n - ceil(t n) + 1`` n-grams.  Groups of sets that share such an n-gram are compared with one pivot at a time,
-  the most central set first, so a group costs rows in proportion to its size.  A pair within one component cannot
-  change a component and is left out; groups that still hold several components get their next pivot, and what
-  small groups and a few rounds leave is compared in full, each pair at its first common n-gram only.  A pair is
-  compared only if sizes and prefixes leave it a chance, which few unlinked pairs of a large group pass.
-* *Vertical partitioning*: the order is cut into fragments; the overlap of a pair is counted in each fragment
-  on its own and summed per pair, which gives the exact Jaccard test in integers.
+  ``n - ceil(t n) + 1`` n-grams.  A row (n-gram, set) knows how many n-grams of the set stand before it: at the first
+  n-gram that a pair shares they are lost to both, which bounds what the pair can still share.  A row stays only while
+  that leaves it a chance with some row of its group (the sets that share the n-gram) from another component.
+  Groups are worked off in turns: a few *pivots* of each group, four times as many each turn, are compared with
+  the rest of it and leave it.  A pair within one component cannot change a component and is left out.  So a group
+  costs rows in proportion to its size while its sets link, and more only for sets that no bound can tell apart.
+* *Vertical partitioning*: the order is cut into fragments, and a set into its segments, one row each.  The overlap of
+  a pair is counted in each fragment apart, between two segments; the partial counts are summed per pair, which
+  gives the exact Jaccard test in integers.
 
 Defined cases: null, empty and blank texts have no n-gram, size 0, and link with nothing; a text of fewer
 words than n has its whole word sequence as its one n-gram; repeated rows and equal texts are one class;
-a row with a null key takes part but names no component; extra columns are ignored.
+a row with a null key takes part but names no component; rows that share a key are texts of their own, each with the
+result of its own text; a very long text is one set like others; extra columns are ignored; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -36,12 +40,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import _text as X
 from ._components import components
-from ._session import stage, tune, unstage
+from ._session import numbered, stage, tune, unstage
 
 #: The sketch: slots, slots reported by a task, slots broadcast; the count from which a slot is frequent.
 SLOT_BITS, SUMMARY, TABLE, FREQUENT = 22, 1 << 13, 1 << 16, 32
-#: Fragments of the global order, pivot rounds, and the group size that is compared in full at once.
-FRAGMENTS, ROUNDS, SMALL = 8, 2, 8
+#: Fragments of the rare tier (frequent n-grams are one more), and the group size of which all sets are pivots at once.
+FRAGMENTS, SMALL = 8, 8
 #: The shared prefix n-grams asked of a set: one for every so many of its n-grams.
 EVERY = 40
 _HASH_BITS = 59
@@ -116,7 +120,7 @@ def _profiles(order, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = _Order(*order.value)
         for batch in batches:
-            for chunk in X.chunks(batch.column(1)):
+            for chunk in X.chunks(batch.column(2)):
                 token, bounds = o.sets(chunk)
                 n = np.diff(bounds)
                 with np.errstate(over="ignore"):
@@ -128,14 +132,14 @@ def _profiles(order, percent: int):
                 none = pa.array(n == 0)
                 cls = [pa.compute.if_else(none, pa.scalar(None, pa.int64()), pa.array(x.view(np.int64))) for x in (one, two)]
                 prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(n.astype(np.int64)), *cls, prefix], ["key", "n", "cls", "check", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(chunk.first, chunk.rows) for k in (0, 1)), pa.array(n.astype(np.int64)), *cls, prefix], ["row", "key", "n", "cls", "check", "prefix"])
 
     return run
 
 
-def _fragments(order):
-    """(cls, n, parts): the tokens of a set, cut where the order's fragments are cut: ranges of the rare tier's hashes, and
-    the frequent tiers as one more."""
+def _segments(order):
+    """(cls, part, tokens): the segment of a set in each fragment of the order, which is cut at ranges of the rare tier's
+    hashes and before the frequent tiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = _Order(*order.value)
@@ -143,21 +147,21 @@ def _fragments(order):
             for chunk in X.chunks(batch.column(1)):
                 token, bounds = o.sets(chunk)
                 row = np.repeat(np.arange(chunk.rows), np.diff(bounds))
-                part = np.minimum(token >> np.uint64(_HASH_BITS - 3), np.uint64(FRAGMENTS)).astype(np.int64)
-                cuts = np.searchsorted(row * (FRAGMENTS + 1) + part, np.arange(chunk.rows * (FRAGMENTS + 1) + 1))
-                inner = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(token.view(np.int64)))
-                outer = pa.ListArray.from_arrays(pa.array(np.arange(chunk.rows + 1) * (FRAGMENTS + 1), pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(np.diff(bounds)), outer], ["cls", "n", "parts"])
+                part = np.minimum(token >> np.uint64(_HASH_BITS - 3), np.uint64(FRAGMENTS)).astype(np.int32)
+                first = X.runs(row, part)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(token)), pa.int32()), pa.array(token.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chunk.first + row[first])), pa.array(part[first]), lists], ["cls", "part", "tokens"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity reaches the threshold: partial overlaps, summed."""
-    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    b = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    overlaps = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
-    total = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(overlaps, F.lit(0).cast("long"), lambda s, x: s + x).alias("s"))
+def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose Jaccard similarity reaches the threshold: one count for each fragment, summed per pair."""
+    left = pairs.join(segments.select(F.col("cls").alias("a"), "part", F.col("tokens").alias("x")), "a")
+    both = left.join(segments.select(F.col("cls").alias("b"), "part", F.col("tokens").alias("y")), ["b", "part"])
+    partial = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("c"))
+    total = partial.groupBy("a", "b").agg(F.sum("c").alias("s"))
+    total = total.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
     return total.where(100 * F.col("s") >= percent * (F.col("na") + F.col("nb") - F.col("s"))).select("a", "b")
 
 
@@ -180,12 +184,12 @@ def _sharing(rows: DataFrame, sizes: DataFrame, least, name: str, times: int = 1
 
 
 def ranked_prefixes(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(cls, n, alone, central, first): the places of the shared n-grams in the prefix of each class, rarest first.
+    """(cls, n, alone, first): the places of the shared n-grams in the prefix of each class, rarest first.
 
     A place is an n-gram's position in the exact order as one number: its document frequency on a logarithmic scale, then
     56 bits of hash (two n-grams in one place cost at most a comparison).  ``alone`` counts the n-grams that no other
-    class has; they stand before all others and take their places in the prefix unseen.  ``central`` ranks
-    classes by the share of n-grams that others have; ``first`` is the whole shared prefix."""
+    class has; they stand before all others and take their places in the prefix unseen.  ``first`` is the
+    whole shared prefix."""
     scale = F.least(F.floor(F.log2(F.col("df")) * 4), F.lit(126)).cast("long")
     place = F.shiftleft(scale, 56).bitwiseOR(F.xxhash64("token").bitwiseAND((1 << 56) - 1))
     df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", place.alias("place"))
@@ -193,7 +197,7 @@ def ranked_prefixes(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFram
     per = rows.join(df.hint("shuffle_hash"), "token").groupBy("cls").agg(F.array_sort(F.collect_list("place")).alias("t")).join(sizes, "cls")
     per = per.withColumn("alone", F.col("n") - F.size("t"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1 - F.col("alone")
-    return per.where(take > 0).select("cls", "n", "alone", (F.size("t") / F.col("n")).alias("central"), F.slice("t", 1, F.greatest(take, F.lit(0)).cast("int")).alias("first"))
+    return per.where(take > 0).select("cls", "n", "alone", F.slice("t", 1, F.greatest(take, F.lit(0)).cast("int")).alias("first"))
 
 
 def possible(percent: int, na: Column, ua: Column, fa: Column, nb: Column, ub: Column, fb: Column) -> Column:
@@ -209,87 +213,111 @@ def possible(percent: int, na: Column, ua: Column, fa: Column, nb: Column, ub: C
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (na - ua >= need) & (nb - ub >= need) & (na - lost_a >= need) & (nb - lost_b >= need)
 
 
-def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, components): (key, n, cls), (cls, rep) and (node, root) over linked classes."""
-    spark = docs.sparkSession
+def ngram_links(texts: DataFrame, n: int = 4, percent: int = 85, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts: (row, key, text), ``row`` unique.  (row, key, n, cls), (cls, rep, at) and (node, root) over linked classes."""
+    spark = texts.sparkSession
     tune(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    kind = texts.schema["key"].dataType.simpleString()
     order = spark.sparkContext.broadcast((n, seed, *frequent_slots(texts.select("text"), n, seed)))
-    profiles = stage(texts.mapInArrow(_profiles(order, percent), f"key {kind}, n long, cls long, check long, prefix array<long>"), "ngram-profiles")
+    profiles = stage(texts.select("row", "key", "text").mapInArrow(_profiles(order, percent), f"row long, key {kind}, n long, cls long, check long, prefix array<long>"), "ngram-profiles")
     real = profiles.where("cls is not null")
-    classes = stage(real.groupBy("cls").agg(F.min("key").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi")), "ngram-classes")
+    classes = stage(real.groupBy("cls").agg(F.min("key").alias("rep"), F.min("row").alias("at"), F.min("check").alias("lo"), F.max("check").alias("hi")), "ngram-classes")
     if classes.where("lo <> hi").limit(1).count():  # two sets under one class: hash again
-        return ngram_links(docs, n, percent, key, text, seed + 1)
-    classes = classes.select("cls", "rep").where("rep is not null")
+        return ngram_links(texts, n, percent, seed + 1)
+    classes = classes.select("cls", "rep", "at")
 
     sizes = stage(real.groupBy("cls").agg(F.max("n").alias("n")), "ngram-sizes", free=False)
-    tokens = real.join(classes.select(F.col("rep").alias("key")), "key").select(F.explode("prefix").alias("token"), "cls")
+    tokens = real.join(classes.select(F.col("at").alias("row")), "row").select(F.explode("prefix").alias("token"), "cls")
     kept = _sharing(tokens, sizes, lambda n: least_shared(n, percent), "ngram-prefix", 2)
-    ids = kept.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("key"), "cls")
-    parts = sets = stage(texts.join(ids, "key").select("cls", "text").mapInArrow(_fragments(order), "cls long, n long, parts array<array<long>>"), "ngram-fragments")
+    ids = kept.select("cls").distinct().join(classes, "cls").select(F.col("at").alias("row"), "cls")
+    parts = stage(texts.join(ids, "row").select("cls", "text").mapInArrow(_segments(order), "cls long, part int, tokens array<long>"), "ngram-segments")
     unstage(kept)
-    tokens = sets.select("cls", F.explode(F.flatten("parts")).alias("token"))
+    tokens = parts.select("cls", F.explode("tokens").alias("token"))
     rows = _sharing(tokens, sizes, lambda n: F.ceil(n * percent / 100 - 1e-9), "ngram-whole")
     heads = stage(ranked_prefixes(rows, sizes, percent), "ngram-heads")
-    sets = stage(sets.join(heads.select("cls"), "cls"), "ngram-sets")
+    segments = stage(parts.join(heads.select("cls"), "cls"), "ngram-kept-segments")
     unstage(rows)
     unstage(parts)
+    roots = linked(heads, segments, sizes, percent)
+    return profiles.select("row", "key", "n", "cls"), classes, roots
+
 
+def _open_rows(rest: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """The rows (place, cls, n, before) that can still link two components, with root, and pivot's and group's facts."""
+    c = F.col
+    rows = rest.withColumn("root", c("cls")) if roots is None else rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = stage(rows, "ngram-labelled")
+    best = rows.groupBy("place").agg(F.min(F.struct("before", "root")).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    rows = rows.join(stage(best.select("place", c("m.before").alias("least"), c("m.root").alias("of")), "ngram-groups", free=False), "place")
+    # the best partner of a row stands in another component: the first of the group, or the first outside that one's component
+    other = rows.where("root <> of").groupBy("place").agg(F.min("before").alias("next"))
+    rows = rows.join(stage(other, "ngram-groups", free=False), "place")
+    partner = F.when(c("root") == c("of"), c("next")).otherwise(c("least"))
+    rows = stage(rows.where((100 - percent) * c("n") - 100 * c("before") >= percent * partner).select("place", "cls", "n", "before", "root"), "ngram-open")
+    size = rows.groupBy("place").agg(F.count("*").alias("size"), F.min(F.struct("before", "cls")).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    return stage(rows.join(stage(size.select("place", "size", c("p.cls").alias("first")), "ngram-groups", free=False), "place"), "ngram-rest")
+
+
+def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of every class that links, by turns of pivots until no group can link two components any more."""
     c = F.col
     a_head = heads.select(c("cls").alias("a"), c("n").alias("na"), c("alone").alias("ua"), c("first").alias("fa"))
     b_head = heads.select(c("cls").alias("b"), c("n").alias("nb"), c("alone").alias("ub"), c("first").alias("fb"))
     chance = possible(percent, c("na"), c("ua"), c("fa"), c("nb"), c("ub"), c("fb"))
-    rest = heads.select(F.explode("first").alias("place"), "cls", "n", "central")
+    rest = heads.select("cls", "n", "alone", F.posexplode("first").alias("i", "place")).select("place", "cls", "n", (c("alone") + c("i")).alias("before"))
     links = roots = done = None
-    for turn in range(ROUNDS + 1):
-        if roots is None:
-            labelled = rest.withColumn("root", F.col("cls"))
-        else:
-            labelled = rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        best = F.max(F.struct("central", "cls", "n", "root")).alias("p")
-        mixed = labelled.groupBy("place").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), best, F.count("*").alias("size")).where("r0 <> r1")
-        mixed = stage(mixed.select("place", c("p.cls").alias("pivot"), c("p.n").alias("np"), c("p.root").alias("rp"), "size"), "ngram-pivots", free=False)
-        rest = stage(labelled.join(mixed, "place"), "ngram-rest")
-        if not rest.limit(1).count():
+    turn = 0
+    while True:
+        rows = _open_rows(rest, roots, percent)
+        if not rows.limit(1).count():
             break
-        if turn < ROUNDS:
-            star = rest.where((c("cls") != c("pivot")) & (c("root") != c("rp")) & (100 * F.least("n", "np") >= percent * F.greatest("n", "np"))).select(c("cls").alias("a"), c("pivot").alias("b"))
-            small = rest.where((c("size") <= SMALL) & (c("size") > 2))
-            x = small.select("place", c("cls").alias("a"), c("n").alias("na"), c("root").alias("ra"))
-            y = small.select("place", c("cls").alias("b"), c("n").alias("nb"), c("root").alias("rb"))
-            near = (c("a") > c("b")) & (c("ra") != c("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            pairs = star.unionByName(x.join(y, "place").where(near).select("a", "b"))
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            pairs = pairs.join(a_head, "a").join(b_head, "b").where(chance).select("a", "b")
-        else:
-            x = rest.select("place", c("cls").alias("a"), c("root").alias("ra")).join(a_head, "a")
-            y = rest.select("place", c("cls").alias("b"), c("root").alias("rb")).join(b_head, "b")
-            once = (c("a") > c("b")) & (c("ra") != c("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.try_element_at(F.array_intersect("fa", "fb"), F.lit(1)) == x["place"])
-            pairs = x.join(y, (x["place"] == y["place"]) & once & chance).select("a", "b").distinct()
-        pairs = stage(pairs, "ngram-pairs")
+        # pivots: the row with least before it, and as many more as the turn allows, picked by hash
+        share = F.pmod(F.xxhash64("place", "cls", F.lit(turn)), F.greatest("size", F.lit(1)))
+        rows = stage(rows.withColumn("pivot", (c("cls") == c("first")) | (c("size") <= SMALL) | (share < (1 << 2 * turn) - 1)), "ngram-turn")
+        x = rows.select("place", c("cls").alias("a"), c("n").alias("na"), c("before").alias("ba"), c("root").alias("ra"), c("pivot").alias("pa"))
+        y = rows.where("pivot").select("place", c("cls").alias("b"), c("n").alias("nb"), c("before").alias("bb"), c("root").alias("rb"))
+        apart = (c("ra") != c("rb")) & (~c("pa") | (c("a") > c("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        room = ((100 - percent) * c("na") - 100 * c("ba") >= percent * c("bb")) & ((100 - percent) * c("nb") - 100 * c("bb") >= percent * c("ba"))
+        pairs = x.join(y, "place").where(apart & room).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = stage(pairs.join(a_head, "a").join(b_head, "b").where(chance).select("a", "b"), "ngram-pairs")
         fresh = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
         done = pairs if done is None else done.unionByName(pairs)
-        new = stage(verified(fresh, sets, percent), "ngram-links")
-        if links is None or new.limit(1).count():
+        new = stage(verified(fresh, segments, sizes, percent), "ngram-links")
+        if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             roots = stage(components(links), "ngram-roots")
-        if turn == ROUNDS:
-            break
-        rest = rest.where((F.col("size") > SMALL) & (F.col("cls") != F.col("pivot"))).select("place", "cls", "n", "central")
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
-    return profiles.select("key", "n", "cls"), classes, roots
+        rest = rows.where("not pivot").select("place", "cls", "n", "before")
+        turn += 1
+    return roots if roots is not None else heads.sparkSession.createDataFrame([], "node long, root long")
+
+
+def _components(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(row, key, n, cls, root, component_id) of each row; the last three are null for a row without n-grams."""
+    profiles, classes, roots = ngram_links(texts, n, percent)
+    labelled = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = labelled.join(labelled.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "root", "component_id")
+    return profiles.join(named, "cls", "left")
 
 
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, class_id): component_id is the smallest key that links reach."""
-    profiles, classes, roots = ngram_links(docs, n, percent, key, text)
-    labelled = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = labelled.join(labelled.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
-    out = profiles.join(named, "cls", "left")
+    texts = numbered(docs.withColumn(text, F.col(text).cast("string")), "ngram-texts", key=key, text=text)
+    out = _components(texts, n, percent)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.col("cls").alias("class_id"))
 
 
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component stays: that of the smallest key, then the first; a row without a key only if none has one.
+
+    Rows without n-grams link with nothing; of those that repeat key and text one stays."""
+    whole = numbered(docs.select(F.struct("*").alias("doc")), "ngram-docs", doc="doc")
+    texts = whole.select("row", F.col("doc")[key].alias("key"), F.col("doc")[text].cast("string").alias("text"))
+    found = stage(_components(texts, n, percent), "ngram-found")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "row")
+    kept = found.where("root is not null").groupBy("root").agg(F.min(order).alias("m")).select("m.row")
+    blank = texts.join(found.where("root is null").select("row"), "row", "left_semi").groupBy("key", "text").agg(F.min("row").alias("row")).select("row")
+    return whole.join(kept.unionByName(blank), "row", "left_semi").select("doc.*")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), 4, 85).drop("class_id")

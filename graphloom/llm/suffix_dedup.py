@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text as X
-from ._session import stage, tune
+from ._session import numbered, stage, tune
 
 #: Cells of one sorted block; window starts per segment of a long text; suffixes of a cell; units or cells grouped at once.
 BLOCK, SEGMENT, CELL, GROUP = 4096, 1 << 19, 12, 1 << 17
@@ -307,11 +307,6 @@ def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return whole, classes.join(mixed, "bucket").select("bucket", "rep.*")
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, text), written, so that each row keeps its own number whatever its key."""
-    return stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "suffix-texts")
-
-
 def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     """(row, start, size) byte spans, overlapping or not, that cover exactly the repeated strings of (row, text)."""
     if length % 40:
@@ -364,7 +359,7 @@ def _cut(n_kept: bool):
 
 def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` holds the remaining bytes, if asked for."""
-    texts = numbered(docs, key, text)
+    texts = numbered(docs.withColumn(text, F.col(text).cast("string")), "suffix-texts", key=key, text=text)
     spans = stage(repeated_spans(texts, length), "suffix-spans")
     by_row = spans.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     kind = docs.schema[key].dataType.simpleString()

@@ -63,3 +63,49 @@ def test_documents(docs, texts, nothing):
 def test_repeated_rows_and_null_keys(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (3, "A B C D E")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in J.ngram_components(df).collect()) == [(0, 3), (3, 3), (5, 3), (5, 3)]
+
+
+def test_shared_and_missing_keys(spark):
+    """Rows are texts of their own: one key with two texts, and a text without a key that links two others."""
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join(w[3:] + ["x1", "x2", "x3"]), " ".join(w[6:] + ["x1", "x2", "x3", "x4", "x5", "x6"])
+    df = spark.createDataFrame([(4, a, 0, 1), (None, b, 0, 1), (2, c, 0, 1), (7, "other words of no kin at all", 0, 1), (7, a, 0, 1), (9, None, 0, 1), (9, "", 0, 1)], "doc_id long, text string, row int, key int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in J.ngram_components(df).collect())
+    assert got == [(0, 57, 2), (2, 57, 2), (4, 57, 2), (7, 4, 7), (7, 57, 2), (9, 0, 9), (9, 0, 9)]
+    left = sorted((r.doc_id, r.text or "", r.row, r.key) for r in J.without_near_copies(df, 4, 85).collect())
+    assert left == [(2, c, 0, 1), (7, "other words of no kin at all", 0, 1), (9, "", 0, 1), (9, "", 0, 1)]
+
+
+def test_near_families(spark):
+    """Many unlinked sets around one hot passage, linked families among them: the last links are found in late turns."""
+    r = random.Random(11)
+    hot = [f"h{i}" for i in range(40)]
+    texts = {}
+    for i in range(260):
+        own = [f"o{r.randrange(90)}" for _ in range(r.choice([2, 4, 6, 8, 10]))]
+        k = r.randrange(len(own) + 1)
+        texts[i] = " ".join(own[:k] + hot[: r.choice([36, 40])] + own[k:])
+        if r.random() < 0.3:
+            texts[1000 + i] = texts[i] + f" t{r.randrange(5)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.ngram_components(df).collect()}
+    assert got == brute(texts)
+
+
+def test_partial_counts_add_up(spark):
+    """Segments of all fragments together are the sets, and summed counts equal the sizes of intersections."""
+    texts = made(9)
+    rows = J.numbered(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "t", key="doc_id", text="text")
+    order = spark.sparkContext.broadcast((4, 0, *J.frequent_slots(rows.select("text"), 4, 0)))
+    parts = rows.select("row", "text").mapInArrow(J._segments(order), "cls long, part int, tokens array<long>")
+    found = {}
+    for x in parts.collect():
+        assert x.part not in found.setdefault(x.cls, {})
+        found[x.cls][x.part] = set(x.tokens)
+    whole = {i: set().union(*f.values()) for i, f in found.items()}
+    assert len({p for f in found.values() for p in f}) > 4
+    pairs = [(a, b) for a in whole for b in whole if a > b and (a + b) % 7 == 0]
+    for percent in (30, 85):
+        sizes = spark.createDataFrame([(i, len(t)) for i, t in whole.items()], "cls long, n long")
+        got = {tuple(x) for x in J.verified(spark.createDataFrame(pairs, "a long, b long"), parts, sizes, percent).collect()}
+        assert got == {(a, b) for a, b in pairs if 100 * len(whole[a] & whole[b]) >= percent * len(whole[a] | whole[b])}
