@@ -17,13 +17,15 @@ Counts are over distinct cores, so thousands of copies of a text weigh no more t
 combine map-side, and the confidence tables are written before they are joined, so a hot pattern is split.
 
 Defined cases: null and empty texts have no spans; equal texts have equal spans, whatever their keys, for rows are
-matched by the md5 of the text; repeated rows each give their row, and so do rows with a null key; extra columns are
-ignored; empty tables give empty results.
+matched by the md5 of the text; repeated rows each give their row, and so do rows that share a key or have none; very
+long texts cost time in proportion to their length, as arrays are gathered in blocks; extra columns are ignored; empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,22 +45,47 @@ TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 #: Shape of secrets that serve as seeds beside the base spans.
 SECRET = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_/+=-]{20,})$"
 MIN_INSTANCES, ACCEPT, SETTLED = 3, 0.7, 1e-6
+#: Items gathered at once, and code points of a block of a text that is redacted.
+FOLD, PIECE = 256, 4096
 _SPAN = "array<struct<m:string,s:int,e:int>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def folded(items: Column, first: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A left fold that gathers arrays: ``step(state, item)`` gives the next state and an array (of SQL type ``kind``) to append.
+
+    Blocks of ``FOLD`` items are gathered apart, so that long arrays are not copied for each item."""
+
+    def inner(block: Column, state: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            after, more = step(a["at"], x)
+            return F.struct(after.alias("at"), F.concat(a["out"], more).alias("out"))
+
+        return F.aggregate(block, F.struct(state.alias("at"), F.array().cast(kind).alias("out")), one)
+
+    def outer(a: Column, block: Column) -> Column:
+        return let(inner(block, a["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    blocks = let(items, lambda i: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(i), F.lit(1)) - 1) / FOLD).cast("int")), lambda b: F.slice(i, b * FOLD + 1, F.lit(FOLD))))
+    return F.aggregate(blocks, F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), outer, lambda a: F.flatten(a["out"]))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches as an array of (m, s, e): the text, and its start and end in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    pairs = F.arrays_zip(found.alias("m"), gaps.alias("g"))  # the last gap has no match
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["g"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["g"]
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))).alias("out"))
+        return e, F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    return folded(F.filter(pairs, lambda x: x["m"].isNotNull()), F.lit(0), _SPAN, step)
 
 
 def luhn(digits: Column) -> Column:
@@ -113,17 +140,40 @@ def base_and_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     def candidate(x: Column) -> Column:
         m = x["tokens"]["m"]
         lead = F.length(m) - F.length(F.regexp_replace(m, r"^[\"'`(<\[{]+", ""))
-        core = F.regexp_replace(F.substring(m, lead + 1, 1 << 20), r"[\"'`)>\]},.;:!?]++$", "")
+        core = F.regexp_replace(F.substring(m, lead + 1, F.length(m)), r"[\"'`)>\]},.;:!?]++$", "")
         s = x["tokens"]["s"] + lead
         e = s + F.length(core)
         pattern = F.regexp_replace(F.lower(F.trim(x["before"])), "[0-9]", "0")
         return F.struct(pattern.alias("pattern"), core.alias("core"), s.alias("s"), e.alias("e"))
 
     out = out.withColumn("c", F.filter(F.transform("z", candidate), lambda c: (c["core"] != "") & (c["pattern"] != "")))
-    seeded = F.transform("c", lambda c: F.struct(c["pattern"].alias("pattern"), c["core"].alias("core"), c["s"].alias("s"), c["e"].alias("e"), F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"])).alias("based"), c["core"].rlike(SECRET).alias("secret")))
+    out = out.withColumn("touched", F.when(F.size("base") == 0, F.transform("c", lambda _: F.lit(False))).otherwise(_touched(F.col("base"), F.col("c"))))
+    seeded = F.transform(F.arrays_zip("c", "touched"), lambda x: F.struct(*[x["c"][f].alias(f) for f in ("pattern", "core", "s", "e")], x["touched"].alias("based"), x["c"]["core"].rlike(SECRET).alias("secret")))
     return out.select("key", "text_md5", F.array_sort("base").alias("base"), seeded.alias("candidates"))
 
 
+def _touched(base: Column, candidates: Column) -> Column:
+    """Whether each candidate overlaps a base span: one pass over both in order of their starts, and one back."""
+
+    def event(k: int) -> Callable[[Column], Column]:
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
+
+    events = F.array_sort(F.concat(F.transform(base, event(0)), F.transform(candidates, event(1))))
+    flag = lambda x, test: F.when(x["k"] == 1, F.array(test)).otherwise(F.array().cast("array<boolean>"))
+
+    def ahead(end: Column, x: Column) -> tuple[Column, Column]:  # the farthest end of the base spans so far
+        return F.when(x["k"] == 0, F.greatest(end, x["e"])).otherwise(end), flag(x, end > x["s"])
+
+    def back(start: Column, x: Column) -> tuple[Column, Column]:  # the start of the next base span
+        return F.when(x["k"] == 0, x["s"]).otherwise(start), flag(x, start < x["e"])
+
+    def both(ev: Column) -> Column:
+        there = folded(ev, F.lit(0), "array<boolean>", ahead)
+        return F.zip_with(there, F.reverse(folded(F.reverse(ev), F.lit((1 << 31) - 1), "array<boolean>", back)), lambda x, y: x | y)
+
+    return let(events, both)
+
+
 def accepted_patterns(candidates: DataFrame) -> DataFrame:
     """(pattern, confidence) of the accepted patterns; candidates: (pattern, core, seed)."""
     edges = candidates.groupBy("pattern", "core").agg(F.max("seed").alias("seed"))
@@ -160,20 +210,35 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each span as ``[kind]``; a span that starts inside an earlier one adds nothing but its end."""
+
+    def rebuilt(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:  # code points a to b, from the blocks that hold them
+            part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b, (k + 1) * PIECE) - F.greatest(a, k * PIECE))
+            of = lambda x: F.floor(x / PIECE).cast("int")
+            return F.when(b > a, F.array_join(F.transform(F.sequence(of(a), of(F.greatest(b - 1, a))), part), "")).otherwise(F.lit(""))
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            named = F.array(piece(at, x["s"]), F.concat(F.lit("["), x["kind"], F.lit("]")))
+            return F.greatest(at, x["e"]), F.when(x["s"] >= at, named).otherwise(F.array().cast("array<string>"))
+
+        end = F.array_max(F.transform(spans, lambda x: x["e"]))
+        return F.array_join(F.concat(folded(spans, F.lit(0), "array<string>", step), F.array(piece(end, F.length(text)))), "")
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), rebuilt)
+
+
 def redact(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``found`` replaced by ``[kind]``; of overlapping spans the first is named."""
-    wanted = spans.where(F.size("found") > 0).select(F.col("text_md5").alias("_k"), F.col("found").alias("_f")).dropDuplicates(["_k"])
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.join(wanted, F.md5(t.cast("binary")) == F.col("_k"), "left")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["s"] >= a["at"]
-        piece = F.array(F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.concat(F.lit("["), x["kind"], F.lit("]")))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(fresh, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
-
-    masked = F.aggregate("_f", begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, 1 << 30)))
-    return out.withColumn(text, F.when(F.col("_f").isNull(), F.col(text)).otherwise(masked)).drop("_k", "_f")
+    """``docs`` with every span of ``found`` replaced by ``[kind]``; of overlapping spans the first is named.
+
+    Spans are found by the md5 of the text, so shared and missing keys are as good as others."""
+    wanted = spans.where(F.size("found") > 0).select("text_md5", "found").dropDuplicates(["text_md5"])
+    t = F.coalesce(F.col("doc")[text].cast("string"), F.lit(""))
+    packed = docs.select(F.struct("*").alias("doc"))
+    out = packed.withColumn("text_md5", F.md5(t.cast("binary"))).join(wanted, "text_md5", "left")
+    masked = F.when(F.col("found").isNull(), F.col("doc")[text]).otherwise(_masked(t, F.col("found")))
+    return out.select(*[(masked if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,55 @@ def test_rows_without_keys_are_redacted(spark):
     df = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[8]), (1, texts[9])], "doc_id long, text string")
     out = sorted((r.doc_id or 0, r.text) for r in P.redact(df, P.pii_spans(df)).collect())
     assert out == sorted([(0, "access token = [id] end")] * 9 + [(0, "mail [email] now"), (0, "clean"), (1, "access token = [id] end"), (1, "mail [email] now")])
+
+
+def test_shared_keys_and_clashing_columns(spark):
+    rows = [(1, "write to a@b.com please", "k", "f", 0), (1, "nothing to see in this other text", "k", "f", 1), (None, "mail c@d.com", "k", "f", 2), (1, None, "k", "f", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k string, _f string, text_md5 int")
+    out = P.redact(df, P.pii_spans(df))
+    assert out.columns == df.columns
+    got = {r.text_md5: tuple(r)[:4] for r in out.collect()}
+    assert got == {0: (1, "write to [email] please", "k", "f"), 1: rows[1][:4], 2: (None, "mail [email]", "k", "f"), 3: rows[3][:4]}
+
+
+def test_masks_across_blocks(spark, monkeypatch):
+    """Small blocks: spans at, over and beside block ends, overlapping ones, and characters of two code units."""
+    monkeypatch.setattr(P, "PIECE", 7)
+    monkeypatch.setattr(P, "FOLD", 3)
+    r = random.Random(8)
+    bits = ["a@b.co", "\U0001f600", "é ", "1.2.3.4", "x", " ", "+49 30 1234 567", "4111 1111 1111 1111", "9\n", "word 12 "]
+    texts = {i: "".join(r.choice(bits) for _ in range(r.randrange(40))) for i in range(150)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = check(P.pii_spans(df), texts)
+    got = {x.doc_id: x.text for x in P.redact(df, P.pii_spans(df)).collect()}
+    for i, t in texts.items():
+        at, out = 0, ""
+        for x in found[i].found:
+            if x.s >= at:
+                out += t[at : x.s] + f"[{x.kind}]"
+            at = max(at, x.e)
+        assert got[i] == out + t[at:]
+
+
+def test_candidates_that_touch_base_spans(spark, monkeypatch):
+    monkeypatch.setattr(P, "FOLD", 2)
+    r = random.Random(3)
+    bits = ["4111 1111 1111 1111", "a@b.com", "1.2.3.4", "+1 (017) 555-7713", "ab1", "7", "word", "x9,", "(5)", "12-3", "@"]
+    texts = {i: "go " + " ".join(r.choice(bits) for _ in range(r.randrange(14))) for i in range(200)}
+    rows = P.base_and_candidates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text").collect()
+    assert sum(len(x.candidates) for x in rows) > 500
+    for x in rows:
+        for c in x.candidates:
+            assert c.based == any(b.s < c.e and b.e > c.s for b in x.base), (texts[x.key], c)
+
+
+def test_long_text_takes_linear_time(spark):
+    """200 000 tokens with digits, a tenth of them base spans, found and redacted in seconds."""
+    import time
+
+    text = " ".join(f"t{i} 1.2.3.{i % 256}" if i % 10 == 0 else f"w{i}x" for i in range(200_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.monotonic()
+    out = P.redact(df, P.pii_spans(df)).first().text
+    assert time.monotonic() - begin < 60
+    assert out.count("[ip]") == 20_000 and not re.search(r"[0-9]\.[0-9]", out)
