@@ -26,9 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-copy group stays, the one of the smallest id; default thresholds (five words, 0.8).
 
-    Rows that repeat a document, id and text, are one document."""
-    found = ngram_join.ngram_components(docs, 5, 80).where("component_id <> doc_id").select(F.col("doc_id").alias("_k"))
-    return docs.join(found, F.col("doc_id") == F.col("_k"), "left_anti").dropDuplicates(["doc_id", "text"])
+    Rows are told apart by a number of their own, so a shared or missing id never takes another text along."""
+    return ngram_join.without_near_copies(docs, 5, 80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +42,16 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds each document's rate; documents whose rate is zero go.  The classifier learns from the labelled documents that are left.
+    """Adds each document's tokens, rate and domain posteriors; documents whose rate is zero go.  The classifier learns from the
+    labelled documents that are left.
 
-    Documents without an id share one rate, as rows that share an id do (see ``mixing.mix``)."""
+    Documents without an id share one rate, as rows that share an id do (see ``mixing.mix``).  A column of the documents that
+    has the name of an added one gives way to it."""
     rates = mixing.mix(docs, _table(spark, sf_dir, "labels")).where("rate > 0")
-    rates = stage(rates.withColumnRenamed("doc_id", "_k"), "pipeline-rates")
-    return docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_k"))).drop("_k")
+    added = [c for c in rates.columns if c != "doc_id"]
+    rates = stage(rates.select(F.col("doc_id").alias("key"), F.struct(*added).alias("mix")), "pipeline-rates")
+    found = docs.select(F.struct("*").alias("doc")).join(rates, F.col("doc.doc_id").eqNullSafe(F.col("key")))
+    return found.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in added], "mix.*")
 
 
 STAGES = [
