@@ -16,13 +16,15 @@ of good clean documents is raised to ``GOOD_SHARE`` and the rest share what is l
 
 Defined cases: null and empty texts have no tokens, the prior as posterior, and rate 1 before the steps; domains
 without a labelled document cannot be told apart and get no target; without any label every rate is 1; rows that
-share a key are one document with all their words; documents that tie have equal rates; extra columns are ignored; empty tables
-give empty results.
+share a key, or have none, are one document with all their words; documents that tie have equal rates; a very long text is summed
+word by word, as others are; a target that no nonnegative rates can meet gives the nearest totals and a warning; extra columns are
+ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import os
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,7 +34,9 @@ from ._session import stage
 #: Bounds of the classifier: labelled rows, and word buckets.
 TRAIN_ROWS, BUCKETS = 4000, 1 << 13
 WORDS, SMOOTH, GOOD_SHARE = 30, 0.5, 0.9
-STEPS, TOLERANCE, NEST = 40, 1e-7, 4
+#: Tokens by which totals may miss (as a share), the gain of a step
+#: under which it stalls and how often, steps between tables, and the share of all tokens that is reported as missed.
+TOLERANCE, GAIN, STALLS, NEST, MISSED = 1e-7, 1e-3, 8, 4, 1e-3
 DOMAINS = ["bad_clean", "bad_toxic", "good_clean", "good_toxic"]
 
 
@@ -85,10 +89,11 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]] | None, key
     return out.select("key", "tokens", F.array(*[(F.col(f"e{i}") / whole) if i in live else F.lit(0.0) for i in range(size)]).alias("p"))
 
 
-def fit_rates(rows: DataFrame, target: list[float | None], size: int, steps: int = STEPS) -> tuple[DataFrame, list[float]]:
+def fit_rates(rows: DataFrame, target: list[float | None], size: int, steps: int | None = None) -> tuple[DataFrame, list[float]]:
     """Adds ``rate``; target: tokens per domain, None where the domain is free.  Also the achieved totals.
 
-    A step that does not lower the weighted residual is taken back and halved.  The Gram matrix is that of the
+    A step that does not lower the weighted residual is taken back and halved.  Steps go on until the totals meet the target or
+    gain nothing any more; ``steps`` may bound them.  The Gram matrix is that of the
     documents with a positive rate, so steps stay long while many rates are zero."""
     live = [i for i in range(size) if target[i] is not None]
     t, p, rate = F.col("tokens").cast("double"), F.col("p"), F.col("rate")
@@ -104,8 +109,9 @@ def fit_rates(rows: DataFrame, target: list[float | None], size: int, steps: int
         return rows, achieved
     want = np.array([target[i] for i in live], float)
     metric = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    scale, nested = 1.0, 0
-    for _ in range(steps):
+    scale, nested, stalled = 1.0, 0, 0
+    while stalled < STALLS and steps != 0:
+        steps = steps and steps - 1
         gap = want - np.array([achieved[i] for i in live])
         if np.abs(gap).sum() <= TOLERANCE * max(1.0, want.sum()) or scale < 1e-6:
             break
@@ -116,7 +122,9 @@ def fit_rates(rows: DataFrame, target: list[float | None], size: int, steps: int
             tried = stage(tried, "mixing-rates", free=False)
         now, its = measure(tried)
         left = want - np.array([now[i] for i in live])
-        if left @ metric @ left < gap @ metric @ gap:
+        before, after = gap @ metric @ gap, left @ metric @ left
+        if after < before:
+            stalled = stalled + 1 if after > (1 - GAIN) * before else 0
             rows, achieved, gram, scale = tried, now, its, min(1.0, 2 * scale)
             nested = 0 if nested >= NEST else nested + 1
         else:
@@ -148,7 +156,10 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
         target = default_target(totals, present)
     else:
         target = [None if not present[i] else shares.get(d, 0.0) * (budget or sum(totals)) for i, d in enumerate(DOMAINS)]
-    rated, _ = fit_rates(rows, target, size)
+    rated, achieved = fit_rates(rows, target, size)
+    missed = {DOMAINS[i]: (round(achieved[i]), round(t)) for i, t in enumerate(target) if t is not None and abs(achieved[i] - t) > MISSED * max(1.0, sum(totals))}
+    if missed:  # the posteriors of the documents leave no nonnegative rates that would do better
+        warnings.warn(f"mixing targets are not met, tokens as (achieved, target): {missed}", stacklevel=2)
     return rated.select(F.col("key").alias(key), "tokens", F.round("rate", 9).alias("rate"), *[F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)])
 
 

@@ -65,3 +65,31 @@ def test_odd(spark, docs, texts, nothing):
     assert all(r.p_good_clean == 1 for r in one)
     shares = M.mix(docs, labels, shares={"good_clean": 1.0}, budget=1000.0).collect()
     assert sum(r.rate * r.tokens * r.p_good_clean for r in shares) > 900
+
+
+def test_steps_go_on_until_the_target_is_met(spark):
+    """Strongly skewed targets, which take more than forty steps."""
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([0.3] * 4, 2000)
+    t = rng.integers(0, 500, 2000)
+    rows = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(2000)], "key long, tokens long, p array<double>").repartition(4)
+    for target in ([0.985, 0.005, 0.005, 0.005], [0.004, 0.49, 0.004, 0.502]):
+        want = np.array(target) * t.sum()
+        _, achieved = M.fit_rates(M.stage(rows, "t"), want.tolist(), 4)
+        assert np.abs(np.array(achieved) - want).sum() < 1e-4 * want.sum()
+
+
+def test_unmet_target_is_reported(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(i, f"word{i % 2} other") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="not met"):
+        M.mix(docs, labels, shares={"good_clean": 0.0, "bad_clean": 1.0})
+
+
+def test_repeated_shared_and_missing_keys(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "good words here", 9, "x"), (1, "good words here", 9, "x"), (2, "bad stuff", 9, "x"), (None, "good one", 9, "x"), (None, None, 9, "x")], "doc_id long, text string, rate int, tokens string")
+    got = {r.doc_id: r.tokens for r in M.mix(docs, labels).collect()}
+    assert got == {1: 6, 2: 2, None: 2}

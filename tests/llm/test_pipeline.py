@@ -4,6 +4,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from graphloom.llm import toxicity
@@ -75,3 +76,20 @@ def test_documents_without_ids(spark, folder):
     rates = {r.doc_id: r.rate for r in P.mixing.mix(docs, spark.read.parquet(os.path.join(folder, "labels.parquet"))).collect()}
     left = [r for r in P.mixed(spark, docs, folder).collect() if r.doc_id is None]
     assert rates[None] > 0 and [r.rate for r in left] == [rates[None]] * 2
+
+
+def test_clashing_columns_and_shared_ids(spark, folder):
+    """Documents that bring columns of the names that stages use, ids that several texts share, and no ids at all."""
+    docs = spark.read.parquet(os.path.join(folder, "documents.parquet")).where("doc_id < 60")
+    clash = {c: F.lit(i) for i, c in enumerate(["rate", "tokens", "p_good_clean", "_k", "_f", "row", "key", "cls", "root", "text_md5", "found", "doc", "at"])}
+    extra = spark.createDataFrame([(1, "some other calm words that share an id with one more text"), (None, "mail me at a@b.com about the river and the hills today")], "doc_id long, text string")
+    docs = docs.unionByName(extra.selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")).select("*", *[v.alias(k) for k, v in clash.items()])
+    before = docs.count()
+    for name, stage in P.STAGES[1:4]:
+        docs = P.stage(stage(spark, docs, folder), f"t-{name}")
+        assert docs.columns[-len(clash) :] == list(clash)
+    texts = [r.text for r in docs.where("doc_id = 1 or doc_id is null").collect()]
+    assert "some other calm words that share an id with one more text" in texts and "mail me at [email] about the river and the hills today" in texts
+    out = P.mixed(spark, docs, folder)
+    rows = out.collect()
+    assert len(rows) <= before and len(set(out.columns)) == len(out.columns) and all(r.rate > 0 and r._k == 3 for r in rows)
