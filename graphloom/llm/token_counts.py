@@ -1,13 +1,14 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of the most frequent pre-tokens and their token counts, broadcast to every
-task; tier two is a cache in each Python worker, filled by encoding what the table misses.  No pre-token
-is ever shuffled: the frequent ones are found from one bounded summary per task, over the whole corpus.
+Tier one is a compact table of frequent pre-tokens and their token counts, broadcast to every task; tier two is
+a cache in each Python worker, filled by encoding what the table misses.  No pre-token is ever shuffled and texts are
+cut into pre-tokens once: the frequent ones are taken from a bounded sample of rows, which changes no count.
 
 A byte-level BPE never merges across pre-tokens, so the count of a text is the sum of the counts of its
 pre-tokens.  Special strings inside a text are cut out first, each as one token, as the library does by
-default.  Nulls and empty texts have zero tokens; repeated rows and ties need no care, since rows are
-independent; extra columns are ignored; an empty table gives an empty result.
+default.  Nulls and empty texts have zero tokens; rows that repeat, share a key or lack one need no care, since rows are
+independent, and neither do ties; a very long text is counted whole, its pre-tokens at once; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._session import stage, tune
+from ._session import in_one_task, sampled, tune
 
 #: The pre-token pattern of the byte-level family (fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the broadcast table, entries of a task's summary, and entries of a worker's cache.
-TABLE, SUMMARY, CACHE = 1 << 16, 1 << 13, 1 << 20
+#: Entries of the broadcast table, rows it is taken from (smallest key hash), and entries of a worker's cache.
+TABLE, SAMPLE, CACHE = 1 << 16, 6000, 1 << 20
 #: Pre-tokens longer than this are encoded each time, not kept.
 KEEP_CHARS = 64
 
@@ -87,41 +88,20 @@ class _Encoder:
             return n + sum(k if k is not None else miss(p) for k, p in zip(lengths, pieces))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
-    """The most frequent pre-tokens of one task; the counter is cut back whenever it grows."""
-    seen: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update(pieces(text.as_py() or "")[0])
-            if len(seen) > 16 * SUMMARY:
-                seen = Counter({k: v for k, v in seen.most_common(4 * SUMMARY)})
-    top = [(k, v) for k, v in seen.most_common(SUMMARY) if len(k) <= KEEP_CHARS]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["piece", "n"])
+def frequent_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> dict[str, int]:
+    """Token counts of the ``TABLE`` most frequent pre-tokens of ``SAMPLE`` rows, found and encoded in one task.
 
+    The table decides where a count is looked up and never what it is, so a sample does: a pre-token that it lacks is
+    encoded once by each worker that meets it."""
 
-def frequent_table(docs: DataFrame, path: str, text: str = "text") -> dict[str, int]:
-    """Token counts of at most ``TABLE`` pre-tokens, the most frequent of all texts (bounded, collected to the driver)."""
+    def work(found: list[dict]) -> dict[str, int]:
+        encoder, seen = _Encoder(path, {}), Counter()
+        for r in found:
+            seen.update(encoder.pieces(r["t"] or "")[0])
+        top = sorted((k for k in seen if len(k) <= KEEP_CHARS), key=lambda k: (-seen[k], k))[:TABLE]
+        return {k: encoder.encode(k) for k in top}
 
-    def summary(batches):
-        yield from _counted(batches, _Encoder(path, {}).pieces)
-
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(summary, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    rows = sorted(most_frequent(stage(counts, "token-pieces"), TABLE), key=lambda r: r["piece"])
-    encoder = _Encoder(path, {})
-    return {r["piece"]: encoder.encode(r["piece"]) for r in rows}
-
-
-def most_frequent(counts: DataFrame, limit: int) -> list:
-    """At most ``limit`` rows of the largest ``n``, with a cut found from a histogram, so that no task sends more than it keeps."""
-    level = F.floor(F.log2("n") * 8)
-    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"])  # a few hundred rows
-    total, least = 0, None
-    for r in sizes:
-        total += r["count"]
-        if total > limit:
-            break
-        least = r["level"]
-    return counts.where(level >= least).collect() if least is not None else []
+    return in_one_task(sampled(docs, docs.select(F.col(key).alias("k")), SAMPLE, text, key), work)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", limit: int = 1024, table: dict[str, int] | None = None) -> DataFrame:
@@ -129,7 +109,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", k
     tune(docs.sparkSession)
     path = path or vocabulary()
     if table is None:
-        table = frequent_table(docs, path, text)
+        table = frequent_table(docs, path, text, key)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     kind = docs.schema[key].dataType.simpleString()
 

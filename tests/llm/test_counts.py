@@ -51,3 +51,29 @@ def test_quality_held_out(spark):
     y = {r.doc_id: r.quality for r in labels.where("doc_id % 4 = 0").collect()}
     got = {r.doc_id: r.quality >= 0.5 for r in quality.quality_rules(docs, model).collect() if r.doc_id in y}
     assert sum(got[i] == bool(y[i]) for i in y) / len(y) > 0.9
+
+
+def test_token_counts_of_odd_rows(spark, monkeypatch):
+    """Shared, missing and repeated keys, clashing columns, a very long text, and a table taken from few rows."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "SAMPLE", 3)
+    t = Tokenizer.from_file(token_counts.vocabulary())
+    texts = ["one text", "another text <|endoftext|> tail", "one text", "no key at all", "words and more, 12345. " * 60_000, "rare zebra pre-tokens"]
+    keys = [1, 1, 1, None, 2, 3]
+    df = spark.createDataFrame([(k, x, 7, "n") for k, x in zip(keys, texts)], "doc_id long, text string, n_tokens int, k string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(df).collect())
+    assert got == sorted((k or 0, len(x), n := len(t.encode(x, add_special_tokens=False).ids), n > 1024) for k, x in zip(keys, texts))
+    table = token_counts.frequent_table(df, token_counts.vocabulary())
+    assert table and all(n == len(t.encode(p, add_special_tokens=False).ids) for p, n in table.items())
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    texts = ["a good text of ten words or a few more than that", "a bad text of ten words or a few more than that", None, "w " * 400_000]
+    df = spark.createDataFrame([(1, texts[0], 5), (1, texts[0], 5), (1, texts[1], 5), (None, texts[1], 5), (2, texts[2], 5), (3, texts[3], 5)], "doc_id long, text string, quality int")
+    got = [tuple(r) for r in quality.quality_rules(df, quality.fit(df, labels)).collect()]
+    assert len(got) == 6 and {r[0]: r[1:7] for r in got if r[0] == 3} == {3: brute(texts[3])}
+    assert sorted(r[1:] for r in got if r[0] == 1)[0][:6] in (brute(texts[0]), brute(texts[1]))
+    same = [r[1:] for r in got if r[0] in (1, None)]
+    assert len(set(same)) == 2  # equal texts get equal verdicts, whatever their keys
