@@ -1,40 +1,44 @@
 """Benchmark decontamination by SimHash windows, Hamming blocks and exact similarity.
 
 Texts and benchmark items are lower-cased runs of letters and digits (ASCII punctuation separates).  For
-an item of L words, the windows of L words of a text are compared with it:
+an item of L words, every window of L words of every text is compared with it:
 
-1. a window that shares no five-word shingle with an item has similarity 0, so only windows around shared
-   shingles are looked at (nothing that could pass is lost);
-2. their 64-bit SimHash fingerprints are looked up in four 16-bit blocks: fingerprints within ``RADIUS``
-   differ by at most ``RADIUS // 4`` bits in some block, so every item within the radius is found;
+1. the 64-bit SimHash fingerprint of each window, over its five-word shingles, comes from running counts of each bit, a
+   block of ``BLOCK`` shingles at a time, so a text of any length needs a few megabytes;
+2. fingerprints are looked up in four 16-bit blocks, whose tables give distances to what is stored: what lies within ``RADIUS``
+   is never farther than that in all blocks together, so every item within the radius is found;
 3. a candidate is kept if its weighted Jaccard similarity (shingles weighted by how often they occur in
-   either side) reaches the threshold, 0.8.
+   either side) reaches the threshold, 0.8; windows that cannot reach it, as too many of their shingles are not
+   the item's, are left out before the exact count.
 
 Items travel to the tasks in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents for each,
-so a benchmark of any size works with bounded memory.
+so a benchmark of any size works with bounded memory; a worker keeps the index of the block that it used last.
 
 Defined cases: null, empty and word-less texts and items match nothing; an item under five words matches its
-whole word sequence; a text shorter than an item is one window; repeated items each match; repeated rows
-each give their rows; extra columns are ignored; empty tables give empty results.
+whole word sequence; a text shorter than an item is one window; of equally similar windows the first is reported;
+repeated items each match; rows that repeat, share a key or lack one each give their rows; extra columns are ignored; empty
+tables give empty results.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _text as X
 from ._session import tune
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Hamming radius that the four blocks of 16 bits guarantee, and the bytes of items of one pass.
-RADIUS, ITEM_BYTES = 19, 8 << 20
-_FILTER_BITS = 22
+#: Hamming radius that the four blocks of 16 bits guarantee, and fingerprints that share the blocks' tables (256 KB).
+RADIUS, TOGETHER = 19, 12
+#: Bytes of items of one pass, and shingles worked on at once.
+ITEM_BYTES, BLOCK = 1 << 20, 1 << 14
 GAP = np.zeros(256, bool)
 GAP[:128] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
@@ -44,46 +48,71 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """SimHash of ``hashes[s : s + n]`` for each start and size."""
-    votes = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum((((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.int8) * 2 - 1).astype(np.int32), axis=0, out=votes[1:])
-    up = (votes[starts + sizes] - votes[starts]) > 0
-    return (up.astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+    out = np.empty(len(starts), np.uint64)
+    for j, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
+        ones = ((hashes[a : a + n, None] >> _BITS) & np.uint64(1)).sum(axis=0)
+        out[j] = ((2 * ones > n).astype(np.uint64) << _BITS).sum(dtype=np.uint64)
+    return out
 
 
-def neighbours(radius: int) -> np.ndarray:
-    """All 16-bit masks of at most ``radius`` bits."""
-    return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(16), k)], np.uint32)
+def distances(stored: np.ndarray) -> np.ndarray:
+    """Hamming distance of each 16-bit value to the nearest of the stored ones, one bit after another."""
+    out = np.full(1 << 16, 64, np.uint8)
+    out[stored] = 0
+    for bit in range(16):
+        out = np.minimum(out, out.reshape(-1, 2, 1 << bit)[:, ::-1].reshape(-1) + np.uint8(1))
+    return out
 
 
 class Hamming:
-    """Multi-index over four 16-bit blocks: every stored fingerprint within the radius of a query is found."""
+    """Multi-index over four 16-bit blocks: every stored fingerprint within the radius of a query is found.
+
+    Fingerprints are stored ``TOGETHER`` by ``TOGETHER``.  For each block of such a set, a table gives the distance of any
+    16-bit value to the nearest stored one.  A query can be within the radius of one of the set only if its four distances
+    add up to the radius or less (so that one of them is a quarter of it at most); only then is it compared with the set."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius = prints, radius
-        masks = neighbours(radius // 4)
-        self.blocks = []
-        for b in range(4):
-            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
-            key = (value[:, None] ^ masks).ravel()
-            order = np.argsort(key, kind="stable")
-            self.blocks.append((np.searchsorted(key[order], np.arange(65537)), np.repeat(np.arange(len(prints)), len(masks))[order]))
+        self.size, self.radius = len(prints), radius
+        self.sets = []
+        for first in range(0, len(prints), TOGETHER):
+            some = prints[first : first + TOGETHER]
+            blocks = np.ascontiguousarray(some, "<u8").view("<u2").reshape(-1, 4)
+            self.sets.append((first, some, [distances(blocks[:, b]) for b in range(4)]))
 
     def query(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, stored) pairs within the radius."""
-        q, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for b, (at, ids) in enumerate(self.blocks):
-            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            size = at[value + 1] - at[value]
-            q.append(np.repeat(np.arange(len(prints)), size))
-            s.append(ids[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[value], size)])
-        pairs = np.unique(np.concatenate(q) * max(1, len(self.prints)) + np.concatenate(s))
-        q, s = np.divmod(pairs, max(1, len(self.prints)))
-        near = np.bitwise_count(prints[q] ^ self.prints[s]) <= self.radius
-        return q[near], s[near]
+        """(query, stored) pairs within the radius, in order."""
+        values = np.ascontiguousarray(prints, "<u8").view("<u2").reshape(-1, 4).T.astype(np.intp)
+        found = [np.zeros(0, np.int64)]
+        for first, some, nearest in self.sets:
+            bound = nearest[0].take(values[0])
+            for d, value in zip(nearest[1:], values[1:]):
+                bound += d.take(value)
+            maybe = np.flatnonzero(bound <= self.radius)
+            near = np.bitwise_count(prints.take(maybe)[:, None] ^ some) <= self.radius
+            if near.any():
+                q, s = np.nonzero(near)
+                found.append(maybe[q] * self.size + first + s)
+        return np.divmod(np.sort(np.concatenate(found)), max(1, self.size))
+
+
+@dataclass
+class Group:
+    """The items of one size: ``size`` shingles of ``k`` words each; who they are, their fingerprints and their shingles."""
+
+    k: int
+    size: int
+    items: np.ndarray
+    near: Hamming
+    member: np.ndarray  # does an item (by its place here) have a shingle: a filter over hashes of both
+
+
+def _member_key(shingle: np.ndarray, place: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (((shingle ^ (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
 
 
 class ItemIndex:
-    """Shingles, owners and fingerprints of one block of items."""
+    """Bags of shingles, and groups by size, of one block of items."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         chunk = next(X.chunks(pa.array([t or "" for t in texts], pa.string()), 1 << 40), None)
@@ -93,29 +122,15 @@ class ItemIndex:
         self.words = np.diff(w.bounds)
         bounds = np.searchsorted(row, np.arange(len(ids) + 1))
         self.bags = [np.unique(s[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
-        order = np.lexsort((row, s))
-        first = X.runs(s[order], row[order])
-        s, row = s[order][first], row[order][first]
-        at = X.runs(s)
-        self.keys, self.bounds, self.owner = s[at], np.append(at, len(s)), row
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        self.short = sorted({int(n) for n in self.words if 0 < n < SHINGLE})
-        hashes = [np.repeat(*bag) for bag in self.bags]
-        prints = np.array([fingerprints(h, np.array([0]), np.array([len(h)]))[0] if len(h) else 0 for h in hashes], np.uint64)
-        self.by_words = {int(n): np.flatnonzero(self.words == n) for n in np.unique(self.words) if n}
-        self.near = {n: Hamming(prints[i]) for n, i in self.by_words.items()}
-
-    def lookup(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into s, item) for every shingle that an item has."""
-        maybe = np.flatnonzero(self.filter[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        if not len(maybe):
-            return maybe, maybe
-        at = np.minimum(np.searchsorted(self.keys, s[maybe]), len(self.keys) - 1)
-        same = self.keys[at] == s[maybe]
-        maybe, at = maybe[same], at[same]
-        size = self.bounds[at + 1] - self.bounds[at]
-        return np.repeat(maybe, size), self.owner[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.bounds[at], size)]
+        self.groups = []
+        for n in np.unique(self.words[self.words > 0]).tolist():
+            items = np.flatnonzero(self.words == n)
+            size = max(1, n - SHINGLE + 1)
+            own = s[(bounds[items][:, None] + np.arange(size)).ravel()]
+            member = np.zeros(1 << 18, bool)
+            member[_member_key(own, np.repeat(np.arange(len(items)), size))] = True
+            prints = fingerprints(own, np.arange(len(items)) * size, np.full(len(items), size))
+            self.groups.append(Group(min(n, SHINGLE), size, items, Hamming(prints), member))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -125,6 +140,43 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / max(1, int(a[1].sum()) + int(b[1].sum()) - common)
 
 
+def _running(s: np.ndarray, most: int) -> np.ndarray:
+    """Counts of each bit in the shingles before each place, in as few bytes as tell apart windows of ``most`` shingles."""
+    bits = np.unpackbits(np.ascontiguousarray(s, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    kind = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
+    total = np.zeros((len(s) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=total[1:])
+    return total
+
+
+def _prints(total: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all windows of ``size`` shingles, from running counts."""
+    up = (total[size:] - total[:-size]) > size // 2
+    return np.packbits(up, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _windows(s: np.ndarray, row: np.ndarray, groups: list[Group], threshold: float) -> Iterator[tuple[Group, np.ndarray, np.ndarray]]:
+    """(group, first shingle, place of the item in the group) of the windows that may match."""
+    most = max(g.size for g in groups)
+    for base in range(0, len(s), BLOCK):
+        part, rows = s[base : base + BLOCK + most - 1], row[base : base + BLOCK + most - 1]
+        total = _running(part, most)
+        for g in groups:
+            starts = min(BLOCK, len(part) - g.size + 1)
+            if starts <= 0:
+                continue
+            q, place = g.near.query(_prints(total[: starts + g.size], g.size))
+            inside = rows[q] == rows[q + g.size - 1]
+            q, place = q[inside], place[inside]
+            lost = int(g.size * (1 - threshold) / (1 + threshold) + 1e-9)  # shingles that a window may have alone
+            for look in (lost + 1, g.size):
+                if len(q):
+                    have = g.member[_member_key(part[q[:, None] + np.arange(look)], place[:, None])].sum(axis=1)
+                    q, place = q[have >= look - lost], place[have >= look - lost]
+            if len(q):
+                yield g, base + q, place
+
+
 def scan(chunk: X.Chunk, index: ItemIndex, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """(row, item, first word, words, similarity) of the best window of each matching row and item."""
     w = X.words(chunk, GAP)
@@ -132,43 +184,45 @@ def scan(chunk: X.Chunk, index: ItemIndex, threshold: float) -> list[tuple[int,
         return []
     hashes = X.word_hashes(chunk, w)
     counts = np.diff(w.bounds)
-    found = []
-    for k in [*index.short, SHINGLE]:
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+    def verify(s: np.ndarray, at: np.ndarray, row: np.ndarray, first: int, size: int, item: int) -> None:
+        x = similarity(np.unique(s[first : first + size], return_counts=True), index.bags[item])
+        r = int(row[first])
+        found = (x, -int(at[first] - w.bounds[r]), min(int(index.words[item]), int(counts[r])))
+        if x >= threshold and found > best.get((r, item), (0.0, 0, 0)):
+            best[r, item] = found
+
+    for k in sorted({g.k for g in index.groups}):
+        groups = [g for g in index.groups if g.k == k]
         s, row, at = X.shingles(hashes, w, k)
-        hit, item = index.lookup(s)
-        keep = (index.words[item] == k) if k < SHINGLE else (index.words[item] >= SHINGLE) | (counts[row[hit]] < SHINGLE)
-        hit, item = hit[keep], item[keep]
-        if not len(hit):
+        whole = counts[row] >= k
+        s, row, at = s[whole], row[whole], at[whole]
+        if not len(s):
             continue
-        order = np.lexsort((hit, item, row[hit]))
-        hit, item = hit[order], item[order]
-        groups = X.runs(row[hit], item)
-        base = np.searchsorted(row, np.arange(chunk.rows + 1))
-        done: set = set()
-        for a, b in zip(groups, np.append(groups[1:], len(hit))):
-            r, length = int(row[hit[a]]), int(index.words[item[a]])
-            size = min(length, int(counts[r]))
-            n = max(1, size - k + 1)  # shingles of a window
-            lo, hi = int(base[r]), int(base[r + 1])
-            at0 = np.unique((hit[a:b, None] - np.arange(n)).ravel())
-            starts = at0[(at0 >= lo) & (at0 + n <= hi)]
-            if not len(starts) or not (todo := set(starts.tolist()) - {p for p in starts.tolist() if (r, length, p) in done}):
-                continue
-            done |= {(r, length, p) for p in todo}
-            starts = np.array(sorted(todo))
-            first = int(starts[0])
-            part = s[first : int(starts[-1]) + n]
-            q, i = index.near[length].query(fingerprints(part, starts - first, np.full(len(starts), n)))
-            items = index.by_words[length][i]
-            for p, one in zip(starts[q].tolist(), items.tolist()):
-                if (x := similarity(np.unique(s[p : p + n], return_counts=True), index.bags[one])) >= threshold:
-                    found.append((r, one, int(at[p] - w.bounds[r]), size, x))
-    best: dict = {}
-    for f in found:
-        old = best.get(f[:2])
-        if old is None or (-f[4], f[2]) < (-old[4], old[2]):
-            best[f[:2]] = f
-    return list(best.values())
+        for g, first, place in _windows(s, row, groups, threshold):
+            for p, i in zip(first.tolist(), g.items[place].tolist()):
+                verify(s, at, row, p, g.size, i)
+        # texts shorter than an item: the whole text is the window
+        begin = X.runs(row)
+        size = np.diff(np.append(begin, len(s)))
+        for g in groups:
+            short = np.flatnonzero((size < g.size) & (size >= threshold * g.size))
+            if len(short):
+                q, place = g.near.query(fingerprints(s, begin[short], size[short]))
+                for j, i in zip(short[q].tolist(), g.items[place].tolist()):
+                    verify(s, at, row, int(begin[j]), int(size[j]), i)
+    return [(r, item, -at, size, x) for (r, item), (x, at, size) in sorted(best.items())]
+
+
+_LAST: list = [None, None]
+
+
+def _index(block: tuple[list, list]) -> ItemIndex:
+    """The index of a block of items, kept by a worker from task to task."""
+    if _LAST[0] is not block:
+        _LAST[:] = [block, ItemIndex(*block)]
+    return _LAST[1]
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list, list]]:
@@ -185,6 +239,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """(key, item, first_word, n_words, similarity): the best window of each document for each item it holds."""
     tune(docs.sparkSession)
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item].dataType)
     texts = docs.select(key, F.col(text).cast("string").alias("text"))
     schema = f"`{key}` {kind}, `{item}` {item_kind}, first_word long, n_words long, similarity double"
     out = None
@@ -192,14 +247,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value)
+            index = _index(shared.value)
             for batch in batches:
                 for chunk in X.chunks(batch.column(1)):
                     if found := scan(chunk, index, threshold):
                         row, i, first, size, x = zip(*found)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows).take(pa.array(row)), pa.array([index.ids[j] for j in i]).cast(item_type), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(x, pa.float64())], [key, item, "first_word", "n_words", "similarity"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows).take(pa.array(row)), pa.array([index.ids[j] for j in i], item_type), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(x, pa.float64())], [key, item, "first_word", "n_words", "similarity"])
 
-        item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
         one = texts.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
@@ -213,7 +267,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value)
+            index = _index(shared.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for chunk in X.chunks(batch.column(at).cast(pa.string())):
