@@ -38,7 +38,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Hamming radius that the four blocks of 16 bits guarantee, and fingerprints that share the blocks' tables (256 KB).
 RADIUS, TOGETHER = 19, 12
 #: Bytes of items of one pass, and shingles worked on at once.
-ITEM_BYTES, BLOCK = 1 << 20, 1 << 14
+ITEM_BYTES, BLOCK = 1 << 20, 1 << 16
 GAP = np.zeros(256, bool)
 GAP[:128] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
@@ -140,24 +140,32 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / max(1, int(a[1].sum()) + int(b[1].sum()) - common)
 
 
+def _kind(most: int) -> type:
+    """As few bytes as tell apart the counts in windows of ``most`` shingles."""
+    return np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
+
+
 def _running(s: np.ndarray, most: int) -> np.ndarray:
-    """Counts of each bit in the shingles before each place, in as few bytes as tell apart windows of ``most`` shingles."""
+    """Counts of each bit in the shingles before each place, modulo what the type holds."""
     bits = np.unpackbits(np.ascontiguousarray(s, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    kind = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
-    total = np.zeros((len(s) + 1, 64), kind)
-    np.cumsum(bits, axis=0, dtype=kind, out=total[1:])
+    total = np.zeros((len(s) + 1, 64), _kind(most))
+    np.cumsum(bits, axis=0, dtype=total.dtype, out=total[1:])
     return total
 
 
-def _prints(total: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of all windows of ``size`` shingles, from running counts."""
-    up = (total[size:] - total[:-size]) > size // 2
-    return np.packbits(up, axis=1, bitorder="little").view("<u8").ravel()
+def _prints(total: np.ndarray, size: int, work: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Fingerprints of all windows of ``size`` shingles, from running counts; ``work`` and ``up`` are room for them."""
+    n = len(total) - size
+    np.subtract(total[size:], total[:n], out=work[:n])
+    np.greater(work[:n], size // 2, out=up[:n])
+    return np.packbits(up[:n].reshape(-1), bitorder="little").view("<u8")
 
 
 def _windows(s: np.ndarray, row: np.ndarray, groups: list[Group], threshold: float) -> Iterator[tuple[Group, np.ndarray, np.ndarray]]:
     """(group, first shingle, place of the item in the group) of the windows that may match."""
     most = max(g.size for g in groups)
+    room = min(BLOCK, len(s))
+    work, up = np.empty((room, 64), _kind(most)), np.empty((room, 64), bool)
     for base in range(0, len(s), BLOCK):
         part, rows = s[base : base + BLOCK + most - 1], row[base : base + BLOCK + most - 1]
         total = _running(part, most)
@@ -165,7 +173,7 @@ def _windows(s: np.ndarray, row: np.ndarray, groups: list[Group], threshold: flo
             starts = min(BLOCK, len(part) - g.size + 1)
             if starts <= 0:
                 continue
-            q, place = g.near.query(_prints(total[: starts + g.size], g.size))
+            q, place = g.near.query(_prints(total[: starts + g.size], g.size, work, up))
             inside = rows[q] == rows[q + g.size - 1]
             q, place = q[inside], place[inside]
             lost = int(g.size * (1 - threshold) / (1 + threshold) + 1e-9)  # shingles that a window may have alone
