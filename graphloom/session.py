@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 #: Spark's setting that drops the shuffle files of a query when it ends.
@@ -52,6 +52,13 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, free: bool = False) -> tuple[DataFrame, int]:
+    """A staged table and its number of rows, which the write itself counts."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, free)
+    return out, seen.get["rows"]
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again."""
     spark = df.sparkSession
