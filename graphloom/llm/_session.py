@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import counted as _counted
 from ..session import shared_dir, unstage
 from ..session import stage as _stage
 
-__all__ = ["ARROW_ROWS", "in_one_task", "numbered", "sampled", "shared_dir", "stage", "tune", "unstage"]
+__all__ = ["ARROW_ROWS", "counted", "in_one_task", "numbered", "sampled", "shared_dir", "stage", "tune", "unstage"]
 
 #: Rows an Arrow batch carries at most; texts are long, so batches are kept short.
 ARROW_ROWS = 1000
@@ -27,6 +29,11 @@ def stage(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     return _stage(df, name, free)
 
 
+def counted(df: DataFrame, name: str, free: bool = True) -> tuple[DataFrame, int]:
+    """``stage``, and the number of rows that it wrote."""
+    return _counted(df, name, free)
+
+
 def numbered(docs: DataFrame, name: str, **columns: str) -> DataFrame:
     """``row`` and the named columns (new name = old one), written, so that each row keeps its own number whatever its key."""
     return stage(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(old).alias(new) for new, old in columns.items()]), name)
@@ -49,7 +56,7 @@ def in_one_task(rows: DataFrame, work: Callable[[list[dict]], object]) -> object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [row for batch in batches for row in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(found))], pa.binary())], ["result"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(work(found)), 1)], pa.binary())], ["result"])
 
     result = rows.repartition(1).mapInArrow(run, "result binary").first()
-    return work([]) if result is None else pickle.loads(result["result"])
+    return work([]) if result is None else pickle.loads(zlib.decompress(result["result"]))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import _text as X
 from ._components import components
-from ._session import numbered, stage, tune, unstage
+from ._session import counted, numbered, stage, tune, unstage
 
 #: The sketch: slots, slots reported by a task, slots broadcast; the count from which a slot is frequent.
 SLOT_BITS, SUMMARY, TABLE, FREQUENT = 22, 1 << 13, 1 << 16, 32
@@ -242,20 +242,18 @@ def ngram_links(texts: DataFrame, n: int = 4, percent: int = 85, seed: int = 0)
     return profiles.select("row", "key", "n", "cls"), classes, roots
 
 
-def _open_rows(rest: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """The rows (place, cls, n, before) that can still link two components, with root, and pivot's and group's facts."""
+def _open_rows(rest: DataFrame, roots: DataFrame | None, percent: int, turn: int) -> tuple[DataFrame, int]:
+    """The rows (place, cls, n, before) that can still link two components, with root and pivot, and their number."""
     c = F.col
     rows = rest.withColumn("root", c("cls")) if roots is None else rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = stage(rows, "ngram-labelled")
-    best = rows.groupBy("place").agg(F.min(F.struct("before", "root")).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    rows = rows.join(stage(best.select("place", c("m.before").alias("least"), c("m.root").alias("of")), "ngram-groups", free=False), "place")
-    # the best partner of a row stands in another component: the first of the group, or the first outside that one's component
-    other = rows.where("root <> of").groupBy("place").agg(F.min("before").alias("next"))
-    rows = rows.join(stage(other, "ngram-groups", free=False), "place")
-    partner = F.when(c("root") == c("of"), c("next")).otherwise(c("least"))
-    rows = stage(rows.where((100 - percent) * c("n") - 100 * c("before") >= percent * partner).select("place", "cls", "n", "before", "root"), "ngram-open")
-    size = rows.groupBy("place").agg(F.count("*").alias("size"), F.min(F.struct("before", "cls")).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    return stage(rows.join(stage(size.select("place", "size", c("p.cls").alias("first")), "ngram-groups", free=False), "place"), "ngram-rest")
+    group = rows.groupBy("place").agg(F.min(F.struct("before", "cls")).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1")
+    group = stage(group.select("place", "size", c("m.before").alias("least"), c("m.cls").alias("first")), "ngram-groups", free=False)
+    rows = rows.join(group, "place").where((100 - percent) * c("n") - 100 * c("before") >= percent * c("least"))
+    # pivots: the row with least before it, and as many more as the turn allows, picked by hash
+    share = F.pmod(F.xxhash64("place", "cls", F.lit(turn)), c("size"))
+    pivot = (c("cls") == c("first")) | (c("size") <= SMALL) | (share < (1 << 2 * turn) - 1)
+    return counted(rows.select("place", "cls", "n", "before", "root", pivot.alias("pivot")), "ngram-turn")
 
 
 def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -268,22 +266,21 @@ def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int
     links = roots = done = None
     turn = 0
     while True:
-        rows = _open_rows(rest, roots, percent)
-        if not rows.limit(1).count():
+        rows, n = _open_rows(rest, roots, percent, turn)
+        if not n:
             break
-        # pivots: the row with least before it, and as many more as the turn allows, picked by hash
-        share = F.pmod(F.xxhash64("place", "cls", F.lit(turn)), F.greatest("size", F.lit(1)))
-        rows = stage(rows.withColumn("pivot", (c("cls") == c("first")) | (c("size") <= SMALL) | (share < (1 << 2 * turn) - 1)), "ngram-turn")
         x = rows.select("place", c("cls").alias("a"), c("n").alias("na"), c("before").alias("ba"), c("root").alias("ra"), c("pivot").alias("pa"))
         y = rows.where("pivot").select("place", c("cls").alias("b"), c("n").alias("nb"), c("before").alias("bb"), c("root").alias("rb"))
         apart = (c("ra") != c("rb")) & (~c("pa") | (c("a") > c("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         room = ((100 - percent) * c("na") - 100 * c("ba") >= percent * c("bb")) & ((100 - percent) * c("nb") - 100 * c("bb") >= percent * c("ba"))
         pairs = x.join(y, "place").where(apart & room).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = stage(pairs.join(a_head, "a").join(b_head, "b").where(chance).select("a", "b"), "ngram-pairs")
-        fresh = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        done = pairs if done is None else done.unionByName(pairs)
-        new = stage(verified(fresh, segments, sizes, percent), "ngram-links")
-        if new.limit(1).count():
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs, n = counted(pairs.join(a_head, "a").join(b_head, "b").where(chance).select("a", "b"), "ngram-pairs")
+        if n:
+            done = pairs if done is None else done.unionByName(pairs)
+            new, n = counted(verified(pairs, segments, sizes, percent), "ngram-links")
+        if n:
             links = new if links is None else links.unionByName(new)
             roots = stage(components(links), "ngram-roots")
         rest = rows.where("not pivot").select("place", "cls", "n", "before")

@@ -339,6 +339,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
                 second = _F(0.999) * s[name][touched] + _F(0.001) * grad * grad
                 m[name][touched], s[name][touched] = first, second
                 p[name][touched] = old - _F(rate) * (first / _F(1 - 0.9**step)) / (np.sqrt(second / _F(1 - 0.999**step)) + _F(1e-6))
+    p["char"][~s["char"].any(axis=1)] = 0  # grams that no step has met say nothing
     z = _scores(p, v, idx)
     top = pool(z, row, len(y))
     known = ~np.isnan(top)
