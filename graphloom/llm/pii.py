@@ -27,7 +27,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ._session import stage, unstage
 
@@ -184,8 +184,10 @@ def accepted_patterns(candidates: DataFrame) -> DataFrame:
     count, total = -1, 0.0
     while True:
         scored = edges.join(known, "core").groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("confidence"))
-        patterns = stage(scored.where(F.col("confidence") >= ACCEPT), "pii-scores", free=False)
-        n, whole = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        seen = Observation()  # the write counts what it writes
+        scored = scored.where(F.col("confidence") >= ACCEPT).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("sum"))
+        patterns = stage(scored, "pii-scores", free=False)
+        n, whole = seen.get["n"], seen.get["sum"]
         if n == count and whole - total <= SETTLED:
             break
         count, total = n, whole
