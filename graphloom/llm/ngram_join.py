@@ -243,7 +243,7 @@ def ngram_links(texts: DataFrame, n: int = 4, percent: int = 85, seed: int = 0)
 
 
 def _open_rows(rest: DataFrame, roots: DataFrame | None, percent: int, turn: int) -> tuple[DataFrame, int]:
-    """The rows (place, cls, n, before) that can still link two components, with root and pivot, and their number."""
+    """The rows (place, cls, n, before, last) that can still link two components, with root and pivot, and their number."""
     c = F.col
     rows = rest.withColumn("root", c("cls")) if roots is None else rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = stage(rows, "ngram-labelled")
@@ -253,7 +253,7 @@ def _open_rows(rest: DataFrame, roots: DataFrame | None, percent: int, turn: int
     # pivots: the row with least before it, and as many more as the turn allows, picked by hash
     share = F.pmod(F.xxhash64("place", "cls", F.lit(turn)), c("size"))
     pivot = (c("cls") == c("first")) | (c("size") <= SMALL) | (share < (1 << 2 * turn) - 1)
-    return counted(rows.select("place", "cls", "n", "before", "root", pivot.alias("pivot")), "ngram-turn")
+    return counted(rows.select("place", "cls", "n", "before", "last", "root", pivot.alias("pivot")), "ngram-turn")
 
 
 def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -262,16 +262,18 @@ def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int
     a_head = heads.select(c("cls").alias("a"), c("n").alias("na"), c("alone").alias("ua"), c("first").alias("fa"))
     b_head = heads.select(c("cls").alias("b"), c("n").alias("nb"), c("alone").alias("ub"), c("first").alias("fb"))
     chance = possible(percent, c("na"), c("ua"), c("fa"), c("nb"), c("ub"), c("fb"))
-    rest = heads.select("cls", "n", "alone", F.posexplode("first").alias("i", "place")).select("place", "cls", "n", (c("alone") + c("i")).alias("before"))
+    # each place with the one before it: a pair that shares both has an earlier place in common, and only its first one counts
+    places = F.posexplode(F.filter(F.arrays_zip(c("first").alias("place"), F.concat(F.array(F.lit(None).cast("long")), "first").alias("last")), lambda x: x["place"].isNotNull())).alias("i", "x")
+    rest = heads.select("cls", "n", "alone", places).select(c("x.place").alias("place"), "cls", "n", (c("alone") + c("i")).alias("before"), c("x.last").alias("last"))
     links = roots = done = None
     turn = 0
     while True:
         rows, n = _open_rows(rest, roots, percent, turn)
         if not n:
             break
-        x = rows.select("place", c("cls").alias("a"), c("n").alias("na"), c("before").alias("ba"), c("root").alias("ra"), c("pivot").alias("pa"))
-        y = rows.where("pivot").select("place", c("cls").alias("b"), c("n").alias("nb"), c("before").alias("bb"), c("root").alias("rb"))
-        apart = (c("ra") != c("rb")) & (~c("pa") | (c("a") > c("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        x = rows.select("place", c("cls").alias("a"), c("n").alias("na"), c("before").alias("ba"), c("last").alias("la"), c("root").alias("ra"), c("pivot").alias("pa"))
+        y = rows.where("pivot").select("place", c("cls").alias("b"), c("n").alias("nb"), c("before").alias("bb"), c("last").alias("lb"), c("root").alias("rb"))
+        apart = F.coalesce(c("la") != c("lb"), F.lit(True)) & (c("ra") != c("rb")) & (~c("pa") | (c("a") > c("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         room = ((100 - percent) * c("na") - 100 * c("ba") >= percent * c("bb")) & ((100 - percent) * c("nb") - 100 * c("bb") >= percent * c("ba"))
         pairs = x.join(y, "place").where(apart & room).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if done is not None:
@@ -283,7 +285,7 @@ def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int
         if n:
             links = new if links is None else links.unionByName(new)
             roots = stage(components(links), "ngram-roots")
-        rest = rows.where("not pivot").select("place", "cls", "n", "before")
+        rest = rows.where("not pivot").select("place", "cls", "n", "before", "last")
         turn += 1
     return roots if roots is not None else heads.sparkSession.createDataFrame([], "node long, root long")
 
