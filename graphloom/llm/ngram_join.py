@@ -15,7 +15,8 @@ ranks; any order gives the same result.
   n-gram that a pair shares they are lost to both, which bounds what the pair can still share.  A row stays only while
   that leaves it a chance with some row of its group (the sets that share the n-gram) from another component.
   Groups are worked off in turns: a few *pivots* of each group, four times as many each turn, are compared with
-  the rest of it and leave it.  A pair within one component cannot change a component and is left out.  So a group
+  the rest of it and leave it.  Only pairs whose sizes, positions and *odd sketches* (256 parities a set, which bound the
+  difference of two sets from below) leave them a chance come out of that.  A pair within one component cannot change a component and is left out.  So a group
   costs rows in proportion to its size while its sets link, and more only for sets that no bound can tell apart.
 * *Vertical partitioning*: the order is cut into fragments, and a set into its segments, one row each.  The overlap of
   a pair is counted in each fragment apart, between two segments; the partial counts are summed per pair, which
@@ -48,6 +49,8 @@ SLOT_BITS, SUMMARY, TABLE, FREQUENT = 22, 1 << 13, 1 << 16, 32
 FRAGMENTS, SMALL = 8, 8
 #: The shared prefix n-grams asked of a set: one for every so many of its n-grams.
 EVERY = 40
+#: Columns of the odd sketch, 64 parities each.
+ODD = ("o0", "o1", "o2", "o3")
 _HASH_BITS = 59
 
 
@@ -138,8 +141,8 @@ def _profiles(order, percent: int):
 
 
 def _segments(order):
-    """(cls, part, tokens): the segment of a set in each fragment of the order, which is cut at ranges of the rare tier's
-    hashes and before the frequent tiers."""
+    """(cls, part, tokens, o0..): the segment of a set in each fragment of the order, which is cut at ranges of the rare tier's
+    hashes and before the frequent tiers, and its odd sketch: the parity of its tokens in each of 64 slots a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = _Order(*order.value)
@@ -150,7 +153,11 @@ def _segments(order):
                 part = np.minimum(token >> np.uint64(_HASH_BITS - 3), np.uint64(FRAGMENTS)).astype(np.int32)
                 first = X.runs(row, part)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(token)), pa.int32()), pa.array(token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chunk.first + row[first])), pa.array(part[first]), lists], ["cls", "part", "tokens"])
+                h = X.mix(token)
+                bit, lane = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(len(ODD))
+                odd = [np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), first) if len(first) else bit for k in range(len(ODD))]
+                cols = [batch.column(0).take(pa.array(chunk.first + row[first])), pa.array(part[first]), lists, *(pa.array(x.view(np.int64)) for x in odd)]
+                yield pa.RecordBatch.from_arrays(cols, ["cls", "part", "tokens", *ODD])
 
     return run
 
@@ -230,12 +237,13 @@ def ngram_links(texts: DataFrame, n: int = 4, percent: int = 85, seed: int = 0)
     tokens = real.join(classes.select(F.col("at").alias("row")), "row").select(F.explode("prefix").alias("token"), "cls")
     kept = _sharing(tokens, sizes, lambda n: least_shared(n, percent), "ngram-prefix", 2)
     ids = kept.select("cls").distinct().join(classes, "cls").select(F.col("at").alias("row"), "cls")
-    parts = stage(texts.join(ids, "row").select("cls", "text").mapInArrow(_segments(order), "cls long, part int, tokens array<long>"), "ngram-segments")
+    parts = stage(texts.join(ids, "row").select("cls", "text").mapInArrow(_segments(order), "cls long, part int, tokens array<long>, " + ", ".join(f"{o} long" for o in ODD)), "ngram-segments")
     unstage(kept)
     tokens = parts.select("cls", F.explode("tokens").alias("token"))
     rows = _sharing(tokens, sizes, lambda n: F.ceil(n * percent / 100 - 1e-9), "ngram-whole")
     heads = stage(ranked_prefixes(rows, sizes, percent), "ngram-heads")
     segments = stage(parts.join(heads.select("cls"), "cls"), "ngram-kept-segments")
+    heads = stage(heads.join(segments.groupBy("cls").agg(*[F.bit_xor(o).alias(o) for o in ODD]), "cls"), "ngram-sketched")
     unstage(rows)
     unstage(parts)
     roots = linked(heads, segments, sizes, percent)
@@ -253,7 +261,7 @@ def _open_rows(rest: DataFrame, roots: DataFrame | None, percent: int, turn: int
     # pivots: the row with least before it, and as many more as the turn allows, picked by hash
     share = F.pmod(F.xxhash64("place", "cls", F.lit(turn)), c("size"))
     pivot = (c("cls") == c("first")) | (c("size") <= SMALL) | (share < (1 << 2 * turn) - 1)
-    return counted(rows.select("place", "cls", "n", "before", "last", "root", pivot.alias("pivot")), "ngram-turn")
+    return counted(rows.select("place", "cls", "n", "before", "last", "root", *ODD, pivot.alias("pivot")), "ngram-turn")
 
 
 def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -264,28 +272,30 @@ def linked(heads: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int
     chance = possible(percent, c("na"), c("ua"), c("fa"), c("nb"), c("ub"), c("fb"))
     # each place with the one before it: a pair that shares both has an earlier place in common, and only its first one counts
     places = F.posexplode(F.filter(F.arrays_zip(c("first").alias("place"), F.concat(F.array(F.lit(None).cast("long")), "first").alias("last")), lambda x: x["place"].isNotNull())).alias("i", "x")
-    rest = heads.select("cls", "n", "alone", places).select(c("x.place").alias("place"), "cls", "n", (c("alone") + c("i")).alias("before"), c("x.last").alias("last"))
+    rest = heads.select("cls", "n", "alone", *ODD, places).select(c("x.place").alias("place"), "cls", "n", (c("alone") + c("i")).alias("before"), c("x.last").alias("last"), *ODD)
     links = roots = done = None
     turn = 0
     while True:
         rows, n = _open_rows(rest, roots, percent, turn)
         if not n:
             break
-        x = rows.select("place", c("cls").alias("a"), c("n").alias("na"), c("before").alias("ba"), c("last").alias("la"), c("root").alias("ra"), c("pivot").alias("pa"))
-        y = rows.where("pivot").select("place", c("cls").alias("b"), c("n").alias("nb"), c("before").alias("bb"), c("last").alias("lb"), c("root").alias("rb"))
+        x = rows.select("place", c("cls").alias("a"), c("n").alias("na"), c("before").alias("ba"), c("last").alias("la"), c("root").alias("ra"), c("pivot").alias("pa"), *[c(o).alias(f"a{o}") for o in ODD])
+        y = rows.where("pivot").select("place", c("cls").alias("b"), c("n").alias("nb"), c("before").alias("bb"), c("last").alias("lb"), c("root").alias("rb"), *[c(o).alias(f"b{o}") for o in ODD])
         apart = F.coalesce(c("la") != c("lb"), F.lit(True)) & (c("ra") != c("rb")) & (~c("pa") | (c("a") > c("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         room = ((100 - percent) * c("na") - 100 * c("ba") >= percent * c("bb")) & ((100 - percent) * c("nb") - 100 * c("bb") >= percent * c("ba"))
-        pairs = x.join(y, "place").where(apart & room).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs, n = counted(pairs.join(a_head, "a").join(b_head, "b").where(chance).select("a", "b"), "ngram-pairs")
+        # a token of one set alone flips one parity, so parities that differ bound the sets' difference from below
+        differ = sum((F.bit_count(c(f"a{o}").bitwiseXOR(c(f"b{o}"))) for o in ODD), F.lit(0))
+        like = differ <= c("na") + c("nb") - 2 * F.ceil(percent * (c("na") + c("nb")) / (100 + percent) - 1e-9)
+        pairs = x.join(y, "place").where(apart & room & like).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = pairs.join(a_head, "a").join(b_head, "b").where(chance).select("a", "b")
+        pairs, n = counted(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
         if n:
             done = pairs if done is None else done.unionByName(pairs)
             new, n = counted(verified(pairs, segments, sizes, percent), "ngram-links")
         if n:
             links = new if links is None else links.unionByName(new)
             roots = stage(components(links), "ngram-roots")
-        rest = rows.where("not pivot").select("place", "cls", "n", "before", "last")
+        rest = rows.where("not pivot").select("place", "cls", "n", "before", "last", *ODD)
         turn += 1
     return roots if roots is not None else heads.sparkSession.createDataFrame([], "node long, root long")
 

@@ -97,12 +97,16 @@ def test_partial_counts_add_up(spark):
     texts = made(9)
     rows = J.numbered(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "t", key="doc_id", text="text")
     order = spark.sparkContext.broadcast((4, 0, *J.frequent_slots(rows.select("text"), 4, 0)))
-    parts = rows.select("row", "text").mapInArrow(J._segments(order), "cls long, part int, tokens array<long>")
+    parts = rows.select("row", "text").mapInArrow(J._segments(order), "cls long, part int, tokens array<long>, o0 long, o1 long, o2 long, o3 long")
     found = {}
     for x in parts.collect():
         assert x.part not in found.setdefault(x.cls, {})
         found[x.cls][x.part] = set(x.tokens)
     whole = {i: set().union(*f.values()) for i, f in found.items()}
+    odd = {r.cls: tuple(r)[1:] for r in parts.groupBy("cls").agg(*[J.F.bit_xor(o) for o in J.ODD]).collect()}
+    differ = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(odd[a], odd[b]))
+    some = sorted(whole)[:60]
+    assert all(differ(a, b) <= len(whole[a] ^ whole[b]) for a in some for b in some) and any(differ(a, b) > 20 for a in some for b in some)
     assert len({p for f in found.values() for p in f}) > 4
     pairs = [(a, b) for a in whole for b in whole if a > b and (a + b) % 7 == 0]
     for percent in (30, 85):
