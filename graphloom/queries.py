@@ -71,6 +71,7 @@ STATEMENTS: dict[str, tuple] = {
 _CO = "SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2"
 _TRADE = "SELECT c_nationkey AS src, s_nationkey AS dst, count(DISTINCT l_orderkey) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
 _THIN = f"SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM ({_TRADE}) WHERE src <> dst) WHERE r <= {tables.TOP_PARTNERS}"
+_WHOLE = f"SELECT src, dst, weight FROM ({_TRADE}) WHERE src <> dst"
 _BFS = f"WITH RECURSIVE e AS MATERIALIZED ({_THIN}), w(id, d) AS (SELECT 0, 0 UNION SELECT e.dst, w.d + 1 FROM w JOIN e ON e.src = w.id WHERE w.d < {{depth}}) SELECT 'Nation:' || id AS id, min(d) AS distance FROM w GROUP BY 1"
 
 
@@ -79,9 +80,10 @@ def _thin(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return g.vertex_frame(), stage(g.edge_frame(weight="weight"), "trade")
 
 
-def _trade(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _trade(spark: SparkSession, sf: str, loops: bool = True) -> tuple[DataFrame, DataFrame]:
     g = tables.trade_graph(spark, sf)
-    return g.vertex_frame(), stage(g.edge_frame(weight="weight"), "trade")
+    edges = g.edge_frame(weight="weight")
+    return g.vertex_frame(), stage(edges if loops else edges.where("src <> dst"), "trade")
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -131,34 +133,23 @@ SELECT id, min(root) AS root FROM w GROUP BY 1"""
 
 def q_component_sizes(spark, sf):
     """How many components have each size."""
-    sizes = components.component_sizes(components.connected_components(*_thin_parts(spark, sf)))
+    sizes = components.component_sizes(components.connected_components(*_parts(spark, sf)))
     return sizes.groupBy("size").agg(F.count("*").alias("n"))
 
 
-def _thin_parts(spark, sf):
-    g = tables.shop_graph(spark, sf)
-    nodes = g.vertex_frame("Nation", "Region", "Supplier")
-    n = tables.read(spark, sf, "nation").select(F.format_string("Nation:%d", "n_nationkey").alias("src"), F.format_string("Region:%d", "n_regionkey").alias("dst"))
-    s = tables.read(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.format_string("Supplier:%d", "s_suppkey").alias("src"), F.format_string("Nation:%d", "s_nationkey").alias("dst"))
-    return nodes, n.unionByName(s)
-
-
-_SIZES = """WITH k AS (SELECT n_regionkey AS r, count(*) AS nations FROM nation GROUP BY 1),
-s AS (SELECT n_regionkey AS r, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0 GROUP BY 1),
-z AS (SELECT 1 + nations + coalesce(s.n, 0) AS size FROM region JOIN k ON r_regionkey = k.r LEFT JOIN s ON s.r = k.r UNION ALL SELECT 1 FROM supplier WHERE s_suppkey % 2 = 1)
-SELECT size, count(*) AS n FROM z GROUP BY 1"""
+_SIZES = f"SELECT size, count(*) AS n FROM (SELECT root, count(*) AS size FROM ({_COMPONENTS}) GROUP BY 1) GROUP BY 1"
 
 
 def q_pagerank(spark, sf):
-    return pagerank.pagerank(*_thin(spark, sf), 0.85, 10, 0.0).scores.select("id", F.round("score", 9).alias("score"))
+    return pagerank.pagerank(*_trade(spark, sf, loops=False), 0.85, 10, 0.0).scores.select("id", F.round("score", 9).alias("score"))
 
 
 def q_pagerank_top(spark, sf):
-    return pagerank.pagerank(*_thin(spark, sf), 0.85, 10, 0.0).top_nodes(5).select("id", F.round("score", 9).alias("score"))
+    return pagerank.pagerank(*_trade(spark, sf, loops=False), 0.85, 10, 0.0).top_nodes(5).select("id", F.round("score", 9).alias("score"))
 
 
 def _pagerank_sql(k: int, n: str = "(SELECT count(*) FROM nation)") -> str:
-    steps = [f"e AS MATERIALIZED ({_THIN}), d AS MATERIALIZED (SELECT src, count(*) AS deg FROM e GROUP BY 1)", f"r0 AS (SELECT n_nationkey AS id, 1.0::DOUBLE / {n} AS s FROM nation)"]
+    steps = [f"e AS MATERIALIZED ({_WHOLE}), d AS MATERIALIZED (SELECT src, count(*) AS deg FROM e GROUP BY 1)", f"r0 AS (SELECT n_nationkey AS id, 1.0::DOUBLE / {n} AS s FROM nation)"]
     steps += [f"r{i} AS MATERIALIZED (SELECT r.id, 0.15::DOUBLE / {n} + 0.85::DOUBLE * coalesce(x.t, 0) AS s FROM r{i - 1} r LEFT JOIN (SELECT e.dst, sum(p.s / d.deg) AS t FROM e JOIN r{i - 1} p ON p.id = e.src JOIN d ON d.src = e.src GROUP BY 1) x ON x.dst = r.id)" for i in range(1, k + 1)]
     return f"WITH {', '.join(steps)} SELECT 'Nation:' || id AS id, round(s, 9) AS score FROM r{k}"
 
@@ -179,12 +170,12 @@ f AS (SELECT 'Part:' || p_partkey AS id, coalesce(k.n, 0) AS triangles, coalesce
 
 def q_modularity(spark, sf):
     """Of the assignment by region."""
-    nodes, edges = _thin(spark, sf)
+    nodes, edges = _trade(spark, sf, loops=False)
     given = tables.read(spark, sf, "nation").select(F.format_string("Nation:%d", "n_nationkey").alias("id"), F.col("n_regionkey").alias("community"))
     return spark.createDataFrame([(round(louvain.modularity(given, edges), 9),)], "modularity double")
 
 
-_MOD = f"""WITH e AS MATERIALIZED ({_THIN}), m AS (SELECT count(*) AS m FROM e), d AS (SELECT src, count(*) AS d FROM e GROUP BY 1)
+_MOD = f"""WITH e AS MATERIALIZED ({_WHOLE}), m AS (SELECT count(*) AS m FROM e), d AS (SELECT src, count(*) AS d FROM e GROUP BY 1)
 SELECT round(sum((1 - coalesce(x.d, 0) * coalesce(y.d, 0) / (2.0::DOUBLE * m)) / (2.0::DOUBLE * m)), 9) AS modularity FROM e JOIN m ON true JOIN nation a ON a.n_nationkey = e.src JOIN nation b ON b.n_nationkey = e.dst LEFT JOIN d x ON x.src = e.src LEFT JOIN d y ON y.src = e.dst WHERE a.n_regionkey = b.n_regionkey"""
 
 
@@ -291,7 +282,7 @@ _VERSIONS = "SELECT o_custkey AS entity, o_orderkey AS version, o_orderkey % 50
 
 
 def q_mvcc_visible_at(spark, sf):
-    return mvcc.visible_at(_versions(spark, sf), 1000).select("entity", "version")
+    return mvcc.visible_at(_versions(spark, sf), 2000).select("entity", "version")
 
 
 def q_mvcc_visible_to(spark, sf):
@@ -439,7 +430,7 @@ FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "set": (q_set, "SELECT c_custkey AS custkey, CASE WHEN c_nationkey = 2 THEN 'X' || n_name ELSE c_mktsegment END AS seg, CASE WHEN c_nationkey = 2 THEN true END AS flag FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "delete_edges": (q_delete_edges, "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem WHERE l_quantity <= 10"),
     "cascade_delete": (q_cascade_delete, "SELECT 'IN_REGION' AS t, count(*) AS n FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'FROM_NATION', (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2) + (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 2) UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', count(*) FROM lineitem UNION ALL SELECT 'DID', count(*) FROM events"),
-    "mvcc_visible_at": (q_mvcc_visible_at, f"SELECT entity, version FROM ({_VERSIONS}) WHERE created_at <= 1000 AND (deleted_at IS NULL OR deleted_at > 1000)"),
+    "mvcc_visible_at": (q_mvcc_visible_at, f"SELECT entity, version FROM ({_VERSIONS}) WHERE created_at <= 2000 AND (deleted_at IS NULL OR deleted_at > 2000)"),
     "mvcc_visible_to": (q_mvcc_visible_to, f"SELECT entity, version FROM ({_VERSIONS}) WHERE xmin < 30 AND xmin NOT IN (5, 11) AND (xmax IS NULL OR NOT (xmax < 30 AND xmax NOT IN (5, 11)))"),
     "version_latest": (q_version_latest, f"SELECT entity, max(version) AS version FROM ({_VERSIONS}) WHERE created_at <= 1500 AND (deleted_at IS NULL OR deleted_at > 1500) GROUP BY 1"),
     "version_gc": (q_version_gc, f"SELECT count(*) AS n FROM ({_VERSIONS}) WHERE deleted_at IS NULL OR deleted_at >= 1200"),
