@@ -237,7 +237,8 @@ def ngram_links(texts: DataFrame, n: int = 4, percent: int = 85, seed: int = 0)
     tokens = real.join(classes.select(F.col("at").alias("row")), "row").select(F.explode("prefix").alias("token"), "cls")
     kept = _sharing(tokens, sizes, lambda n: least_shared(n, percent), "ngram-prefix", 2)
     ids = kept.select("cls").distinct().join(classes, "cls").select(F.col("at").alias("row"), "cls")
-    parts = stage(texts.join(ids, "row").select("cls", "text").mapInArrow(_segments(order), "cls long, part int, tokens array<long>, " + ", ".join(f"{o} long" for o in ODD)), "ngram-segments")
+    # the rows picked are hashed, whatever their number, so that texts are never sorted
+    parts = stage(texts.join(ids.hint("shuffle_hash"), "row").select("cls", "text").mapInArrow(_segments(order), "cls long, part int, tokens array<long>, " + ", ".join(f"{o} long" for o in ODD)), "ngram-segments")
     unstage(kept)
     tokens = parts.select("cls", F.explode("tokens").alias("token"))
     rows = _sharing(tokens, sizes, lambda n: F.ceil(n * percent / 100 - 1e-9), "ngram-whole")
