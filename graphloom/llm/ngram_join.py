@@ -172,37 +172,33 @@ def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: i
     return total.where(100 * F.col("s") >= percent * (F.col("na") + F.col("nb") - F.col("s"))).select("a", "b")
 
 
-def _sharing(rows: DataFrame, sizes: DataFrame, least, name: str, times: int = 1) -> DataFrame:
-    """rows: (token, cls).  Those of tokens that several classes have, of classes with at least ``least(n)`` of them;
-    can be applied again, as a class that goes may leave others without partners.  The result is written.
-
-    The joins hash the smaller side, distinct tokens or classes, instead of sorting the rows."""
-    old = None
-    for _ in range(times):
-        groups = stage(rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token"), f"{name}-tokens")
-        shared = stage(rows.join(groups.hint("shuffle_hash"), "token"), f"{name}-rows")
-        unstage(groups)
-        if old is not None:
-            unstage(old)
-        enough = shared.groupBy("cls").agg(F.count("*").alias("c")).join(sizes, "cls").where(F.col("c") >= least(F.col("n"))).select("cls")
-        rows = old = stage(shared.join(stage(enough, f"{name}-sets", free=False).hint("shuffle_hash"), "cls").select("token", "cls"), f"{name}-kept")
-        unstage(shared)
-    return rows
-
-
-def ranked_prefixes(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _sharing(rows: DataFrame, sizes: DataFrame, least, name: str, kept: Column | None = None) -> DataFrame:
+    """(cls, n, tokens): of each class its tokens that other classes have too, for classes with at least ``least(n)`` of them.
+
+    rows: (token, cls), none of them twice, so a token is shared if it counts two.  ``kept`` is what is listed in place of the
+    token, from ``token`` and its document frequency ``df``.  The join hashes distinct tokens instead of sorting the
+    rows, and lists meet their class in one exchange, which also counts them.  The result is written."""
+    groups = stage(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), f"{name}-tokens")
+    lists = rows.join(groups.hint("shuffle_hash"), "token").groupBy("cls").agg(F.collect_list(F.col("token") if kept is None else kept).alias("tokens"))
+    out = stage(lists.join(sizes, "cls").where(F.size("tokens") >= least(F.col("n"))).select("cls", "n", "tokens"), f"{name}-kept")
+    unstage(groups)
+    return out
+
+
+def place() -> Column:
+    """An n-gram's position in the exact order as one number: its document frequency on a logarithmic scale, then 56 bits of hash
+    (two n-grams in one place cost at most a comparison)."""
+    scale = F.least(F.floor(F.log2(F.col("df")) * 4), F.lit(126)).cast("long")
+    return F.shiftleft(scale, 56).bitwiseOR(F.xxhash64("token").bitwiseAND((1 << 56) - 1))
+
+
+def ranked_prefixes(whole: DataFrame, percent: int) -> DataFrame:
     """(cls, n, alone, first): the places of the shared n-grams in the prefix of each class, rarest first.
 
-    A place is an n-gram's position in the exact order as one number: its document frequency on a logarithmic scale, then
-    56 bits of hash (two n-grams in one place cost at most a comparison).  ``alone`` counts the n-grams that no other
+    ``whole`` has the places of all shared n-grams of a class.  ``alone`` counts the n-grams that no other
     class has; they stand before all others and take their places in the prefix unseen.  ``first`` is the
     whole shared prefix."""
-    scale = F.least(F.floor(F.log2(F.col("df")) * 4), F.lit(126)).cast("long")
-    place = F.shiftleft(scale, 56).bitwiseOR(F.xxhash64("token").bitwiseAND((1 << 56) - 1))
-    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", place.alias("place"))
-    df = stage(df, "ngram-df")
-    per = rows.join(df.hint("shuffle_hash"), "token").groupBy("cls").agg(F.array_sort(F.collect_list("place")).alias("t")).join(sizes, "cls")
-    per = per.withColumn("alone", F.col("n") - F.size("t"))
+    per = whole.select("cls", "n", F.array_sort("tokens").alias("t")).withColumn("alone", F.col("n") - F.size("t"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1 - F.col("alone")
     return per.where(take > 0).select("cls", "n", "alone", F.slice("t", 1, F.greatest(take, F.lit(0)).cast("int")).alias("first"))
 
@@ -235,17 +231,20 @@ def ngram_links(texts: DataFrame, n: int = 4, percent: int = 85, seed: int = 0)
 
     sizes = stage(real.groupBy("cls").agg(F.max("n").alias("n")), "ngram-sizes", free=False)
     tokens = real.join(classes.select(F.col("at").alias("row")), "row").select(F.explode("prefix").alias("token"), "cls")
-    kept = _sharing(tokens, sizes, lambda n: least_shared(n, percent), "ngram-prefix", 2)
-    ids = kept.select("cls").distinct().join(classes, "cls").select(F.col("at").alias("row"), "cls")
+    once = _sharing(tokens, sizes, lambda n: least_shared(n, percent), "ngram-prefix")
+    # classes that went may leave others without partners
+    kept = _sharing(once.select(F.explode("tokens").alias("token"), "cls"), sizes, lambda n: least_shared(n, percent), "ngram-prefix")
+    unstage(once)
+    ids = kept.select("cls").join(classes, "cls").select(F.col("at").alias("row"), "cls")
     # the rows picked are hashed, whatever their number, so that texts are never sorted
     parts = stage(texts.join(ids.hint("shuffle_hash"), "row").select("cls", "text").mapInArrow(_segments(order), "cls long, part int, tokens array<long>, " + ", ".join(f"{o} long" for o in ODD)), "ngram-segments")
     unstage(kept)
     tokens = parts.select("cls", F.explode("tokens").alias("token"))
-    rows = _sharing(tokens, sizes, lambda n: F.ceil(n * percent / 100 - 1e-9), "ngram-whole")
-    heads = stage(ranked_prefixes(rows, sizes, percent), "ngram-heads")
+    whole = _sharing(tokens, sizes, lambda n: F.ceil(n * percent / 100 - 1e-9), "ngram-whole", place())
+    heads = stage(ranked_prefixes(whole, percent), "ngram-heads")
+    unstage(whole)
     segments = stage(parts.join(heads.select("cls"), "cls"), "ngram-kept-segments")
     heads = stage(heads.join(segments.groupBy("cls").agg(*[F.bit_xor(o).alias(o) for o in ODD]), "cls"), "ngram-sketched")
-    unstage(rows)
     unstage(parts)
     roots = linked(heads, segments, sizes, percent)
     return profiles.select("row", "key", "n", "cls"), classes, roots
