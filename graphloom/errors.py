@@ -20,6 +20,10 @@ class InvalidOperation(GraphError):
     """An operation that makes no sense here."""
 
 
+class CorruptLog(GraphError):
+    """A mutation log in which records are missing or repeated."""
+
+
 class TransactionError(GraphError):
     """An unknown or finished transaction."""
 

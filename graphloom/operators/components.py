@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..session import stage
 
 
-def roots(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): root is the smallest id of the component; isolated nodes are their own."""
+def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root): root is the smallest id of the component; isolated nodes are their own.  Rounds go on until nothing changes."""
     links = stage(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components")
     before = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-low", free=False)
         links = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = stage(links.groupBy("u").agg(F.min("v").alias("m")), "components-low", free=False)
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        links = stage(links.join(low, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "components")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation()  # the write counts and sums its links, which tells whether they have changed
+        links = links.join(low, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct()
+        links = stage(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "components")
+        now = (seen.get["n"], seen.get["sum"])
         if now == before:
             break
         before = now

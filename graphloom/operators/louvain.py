@@ -39,7 +39,7 @@ def modularity(assignment: DataFrame, edges: DataFrame) -> float:
     return float(pairs.agg(F.sum((1 - F.col("da") * F.col("db") / (2.0 * m)) / (2.0 * m))).first()[0] or 0.0)
 
 
-def _sequential(nodes: DataFrame, edges: DataFrame, max_iterations: int) -> tuple[DataFrame, int]:
+def _sequential(nodes: DataFrame, edges: DataFrame, max_iterations: int, least: float) -> tuple[DataFrame, int]:
     """Nodes in order of id move to the out-neighbours' community of the highest gain, until no node moves.
 
     ``gain`` is incremental: moving node i changes only the pairs that i is in."""
@@ -69,7 +69,7 @@ def _sequential(nodes: DataFrame, edges: DataFrame, max_iterations: int) -> tupl
                         worth[community[u]] = worth.get(community[u], 0.0) + 1 - degree.get(v, 0) * degree.get(u, 0) / (2 * m)
                 stay = worth.get(community[v], 0.0)
                 best = max(near, key=lambda c: (worth.get(c, 0.0), -c))
-                if worth.get(best, 0.0) > stay + 1e-12:
+                if worth.get(best, 0.0) > stay + max(1e-12, least * 2 * m):
                     community[v], moved = best, True
             if not moved:
                 break
@@ -79,7 +79,7 @@ def _sequential(nodes: DataFrame, edges: DataFrame, max_iterations: int) -> tupl
     return rows.select("id", "c"), int(rows.agg(F.max("rounds")).first()[0] or 0)
 
 
-def _parallel(nodes: DataFrame, edges: DataFrame, max_iterations: int) -> tuple[DataFrame, int]:
+def _parallel(nodes: DataFrame, edges: DataFrame, max_iterations: int, least: float) -> tuple[DataFrame, int]:
     """Synchronous local moving: odd rounds move only to larger labels, even rounds only to smaller ones, so that
     neighbours do not swap for ever; the best round's assignment is kept."""
     m = edges.count()
@@ -97,7 +97,7 @@ def _parallel(nodes: DataFrame, edges: DataFrame, max_iterations: int) -> tuple[
         worth = both.join(other, "u").join(mine, "v").groupBy("v", "cv", "cu").agg(F.sum(1 - F.col("dv") * F.col("du") / (2.0 * m)).alias("w"), F.max("out").alias("out"))
         stay = F.max(F.when(F.col("cu") == F.col("cv"), F.col("w")))
         away = (F.col("cu") != F.col("cv")) & F.col("out") & ((F.col("cu") < F.col("cv")) if rounds % 2 == 0 else (F.col("cu") > F.col("cv")))
-        choice = worth.groupBy("v").agg(F.coalesce(stay, F.lit(0.0)).alias("stay"), F.max(F.when(away, F.struct("w", "cu"))).alias("go")).where("go.w > stay + 1e-12")
+        choice = worth.groupBy("v").agg(F.coalesce(stay, F.lit(0.0)).alias("stay"), F.max(F.when(away, F.struct("w", "cu"))).alias("go")).where(F.col("go.w") > F.col("stay") + max(1e-12, least * 2 * m))
         state = stage(state.join(choice.select(F.col("v").alias("id"), F.col("go.cu").alias("to")), "id", "left").select("id", F.coalesce("to", "c").alias("c"), "d", F.col("to").isNotNull().alias("moved")), "louvain")
         q = modularity(state.select("id", F.col("c").alias("community")), edges)
         if q > top:
@@ -108,11 +108,12 @@ def _parallel(nodes: DataFrame, edges: DataFrame, max_iterations: int) -> tuple[
     return best.select("id", "c"), rounds
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, max_iterations: int = 100, exact: bool = True) -> Communities:
+def louvain(nodes: DataFrame, edges: DataFrame, max_iterations: int = 100, exact: bool = True, min_improvement: float = 0.0) -> Communities:
     """Communities numbered from 0 in the order of their smallest member, and their modularity.
 
-    The sequential form, one task, unless ``exact`` is false, at every size."""
-    rows, rounds = (_sequential if exact else _parallel)(nodes, edges, max_iterations)
+    The sequential form, one task, unless ``exact`` is false, at every size.  A move must raise modularity by more than
+    ``min_improvement``."""
+    rows, rounds = (_sequential if exact else _parallel)(nodes, edges, max_iterations, min_improvement)
     least = stage(rows.groupBy("c").agg(F.min("id").alias("least")), "louvain-least", free=False)
     names = number(least.select("least"), "least", "community")
     assignment = stage(rows.join(least, "c").join(names, "least").select("id", "community"), "louvain-assignment")

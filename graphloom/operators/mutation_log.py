@@ -11,6 +11,8 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..errors import CorruptLog
+
 # The kinds of log records.
 OPERATIONS = ("begin", "commit", "abort", "insert_node", "update_node", "delete_node", "insert_edge", "update_edge", "delete_edge", "checkpoint")
 SCHEMA = "lsn long, txn_id long, op string, entity string, labels array<string>, src string, dst string, type string, props string"
@@ -31,11 +33,21 @@ class MutationLog:
         return _exists(self.spark, self.path)
 
     def read(self) -> DataFrame:
-        """All written records; a torn file at the tail is skipped, like a torn record."""
+        """All readable records; ``verified`` tells whether any but the last are missing."""
         if not self._there():
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true").parquet(self.path)
 
+    def verified(self) -> DataFrame:
+        """The records, if their numbers run from 0 without a gap or a repetition; else ``CorruptLog``.
+
+        A torn file at the tail leaves no gap and is skipped, like a torn record."""
+        log = self.read()
+        n, distinct, last = log.agg(F.count("*"), F.count_distinct("lsn"), F.max("lsn")).first()
+        if n and (n != last + 1 or distinct != n):
+            raise CorruptLog(f"{last + 1 - distinct} records missing and {n - distinct} repeated up to lsn {last}")
+        return log
+
     def append(self, txn_id: int, op: str, entity: str | None = None, labels: Iterable[str] | None = None, src: str | None = None, dst: str | None = None, type: str | None = None, props: Mapping[str, object] | None = None) -> int:
         if op not in OPERATIONS:
             raise ValueError(f"unknown operation {op}")

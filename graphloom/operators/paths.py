@@ -9,18 +9,18 @@ from ..session import stage
 from .traversal import _start
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, source: str, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(nodes: DataFrame, edges: DataFrame, source: str) -> DataFrame:
     """(id, distance, previous) of all reached nodes; a negative weight on an out-edge of a reached node is an error.
 
     Frontier relaxation: only nodes whose distance fell in the last round send theirs on, and only strictly
-    smaller distances are accepted, so cycles of weight zero end.  Of equal paths the smallest predecessor
+    smaller distances are accepted, so cycles of weight zero end; rounds go on until no distance falls.  Of equal paths the smallest predecessor
     in the final round of improvement stays.
     """
     kind = nodes.schema["id"].dataType
     links = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     best = stage(_start(nodes, source).select("id", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("fresh")), "paths")
     links = stage(links, "paths-links")
-    for _ in range(max_rounds):
+    while True:
         sent = links.join(best.where("fresh").select(F.col("id").alias("src"), "distance"), "src")
         offers = stage(sent.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("distance") + F.col("weight")).alias("d"), F.col("src").alias("p"))).alias("o"), F.min("weight").alias("least")), "paths-offers", free=False)
         if offers.where("least < 0").limit(1).count():

@@ -362,6 +362,17 @@ def q_csv_roundtrip(spark, sf):
     return g.cypher("MATCH (n:Customer) RETURN id(n) IS NOT NULL AS known, n.c_name AS name, n.c_nationkey + 1 AS k, n.c_acctbal AS bal, n.active AS active, size(labels(n)) AS labels")
 
 
+def q_csv_import_edges(spark, sf):
+    """Orders as edges of customers, a tenth of whom are not there: rejects by reason, and the imported ones."""
+    nodes, edges = _scratch(spark, "csv"), _scratch(spark, "csv")
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    tables.read(spark, sf, "customer").where("c_custkey % 10 <> 0").select(name("c_custkey").alias("id")).write.csv(nodes, header=True)
+    tables.read(spark, sf, "orders").select(name("o_custkey").alias("from"), name("o_custkey").alias("to"), F.lit("ORDERED").alias("type"), F.col("o_orderkey").alias("key")).write.csv(edges, header=True)
+    r = importer.import_csv_edges(importer.import_csv_nodes(Graph(spark), nodes).graph, edges, importer.ImportOptions(max_errors=0))
+    good = r.graph.cypher("MATCH (a)-[o:ORDERED]->(b) RETURN 'imported' AS reason, count(o.key) AS n")
+    return r.rejects.groupBy("reason").agg(F.count("*").alias("n")).unionByName(good)
+
+
 def q_json_roundtrip(spark, sf):
     path = _scratch(spark, "json")
     n = tables.read(spark, sf, "nation")
@@ -441,6 +452,7 @@ FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "deadlock_cycles": (q_deadlock_cycles, _CYCLES),
     "snapshot_keep_n": (q_snapshot_keep_n, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 3"),
     "csv_roundtrip": (q_csv_roundtrip, "SELECT true AS known, c_name AS name, CAST(c_nationkey + 1 AS BIGINT) AS k, c_acctbal AS bal, c_acctbal > 0 AS active, CAST(CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS BIGINT) AS labels FROM customer"),
+    "csv_import_edges": (q_csv_import_edges, "SELECT 'source not found: c' || o_custkey AS reason, count(*) AS n FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1 UNION ALL SELECT 'imported', count(*) FROM orders WHERE o_custkey % 10 <> 0"),
     "json_roundtrip": (q_json_roundtrip, "SELECT a.n_name AS a, b.n_name AS b, CAST(a.n_nationkey AS BIGINT) AS w, '[' || a.n_nationkey || ']' AS list FROM nation a JOIN nation b ON b.n_nationkey = a.n_regionkey"),
     "csv_infer_types": (q_csv_infer_types, _INFER),
     "edge_reject_antijoin": (q_edge_reject_antijoin, "SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0"),

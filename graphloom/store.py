@@ -212,8 +212,8 @@ class GraphStore:
     def triangle_count(self) -> DataFrame:
         return triangles.triangle_counts(*self._frames())
 
-    def louvain(self, max_iterations: int = 100) -> louvain.Communities:
-        return louvain.louvain(*self._frames(), max_iterations)
+    def louvain(self, max_iterations: int = 100, min_improvement: float = 0.0) -> louvain.Communities:
+        return louvain.louvain(*self._frames(), max_iterations, min_improvement=min_improvement)
 
     def node2vec(self, walk_length: int = 80, walks_per_node: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
         return node2vec.node2vec(*self._frames(), walk_length, walks_per_node, p, q, seed)

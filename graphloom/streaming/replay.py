@@ -7,6 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mutation_log import SCHEMA
 
+#: Versions that stay: the newest, and the one that a batch that runs again starts from.
+KEPT = 2
 _STATE = "entity string, kind string, lsn long, op string, labels array<string>, src string, dst string, type string, props string"
 
 
@@ -26,25 +28,37 @@ def fold(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 def maintain(source: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Keep ``target`` (versioned folders, the newest complete one counts) as the fold of all batches so far.
 
-    The batch id names the folder, so a batch that runs again overwrites its own work.
+    The batch id names the folder, so a batch that runs again overwrites its own work; the newest ``KEPT`` folders stay.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         before = current(spark, target, below=epoch)
         fold(before, batch).write.mode("overwrite").parquet(f"{target}/batch={epoch:012d}")
+        _drop(spark, target, _complete(spark, target)[:-KEPT])
 
     writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete table under ``target``; None if there is none."""
-    from ..sources.store import _file_system
+def _complete(spark: SparkSession, target: str) -> list[str]:
+    """The names of the complete folders under ``target``, oldest first."""
+    from ..sources.store import _exists, _file_system
 
     fs, p = _file_system(spark, target)
-    if not fs.exists(p):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = sorted(n for n in names if n.startswith("batch=") and (below is None or int(n[6:]) < below) and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if n.startswith("batch=") and _exists(spark, f"{target}/{n}/_SUCCESS"))
+
+
+def _drop(spark: SparkSession, target: str, names: list[str]) -> None:
+    from ..sources.store import _file_system
+
+    for name in names:
+        fs, p = _file_system(spark, f"{target}/{name}")
+        fs.delete(p, True)
+
+
+def current(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The newest complete table under ``target``; None if there is none."""
+    done = [n for n in _complete(spark, target) if below is None or int(n[6:]) < below]
     return spark.read.schema(_STATE).parquet(f"{target}/{done[-1]}") if done else None

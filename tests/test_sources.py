@@ -58,6 +58,32 @@ def test_csv_odd(spark, files):
         importer.import_csv_edges(r.graph, files("noedges.csv", "from,x\n1,2\n"))
 
 
+def test_csv_lines_are_split_unless_cells_hold_line_ends(spark, files):
+    plain, quoted = files("plain.csv", 'id,x\na,"1, ""2"""\na,3\n'), files("quoted.csv", 'id,x\na,"1\n2"\n')
+    o = importer.ImportOptions()
+    assert not importer._open_quotes(spark, plain) and importer._open_quotes(spark, quoted)
+    assert [r.x for r in importer.read_csv(spark, plain, o).collect()] == ['1, "2"', "3"]
+    assert [r.x for r in importer.read_csv(spark, quoted, o).collect()] == ["1\n2"]
+    g = importer.import_csv_nodes(Graph(spark), plain).graph
+    assert g.cypher("MATCH (n) RETURN n.x AS x").collect() == [("3",)]
+    whole = files("large.csv", "id,x\n" + "".join(f"n{i},{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        r = importer.import_csv_nodes(Graph(spark), whole)
+        assert importer.read_csv(spark, whole, o).rdd.getNumPartitions() > 2 and r.nodes_imported == 3000
+        assert r.graph.cypher("MATCH (n) RETURN sum(n.x) AS s").collect() == [(sum(range(3000)),)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_lines(spark, files):
+    path = files("n.jsonl", '\n{"id": "a", "properties": {"x": 1}}\n not json\n  {"id": "a", "properties": {"x": 2}}\n')
+    r = importer.import_json_nodes(Graph(spark), path)
+    assert r.nodes_imported == 1 and r.graph.cypher("MATCH (n) RETURN n.x AS x").collect() == [(2,)]
+    assert importer.import_json_nodes(Graph(spark), files("none.json", " ")).nodes_imported == 0
+    assert importer.import_json_nodes(Graph(spark), files("empty.json", "[]")).nodes_imported == 0
+
+
 def test_rejects(spark, files):
     g = importer.import_csv_nodes(Graph(spark), files("nodes.csv", NODES)).graph
     path = files("edges.csv", "Source,Target,Relationship\nn1,n2,A\nn1,zz,A\nqq,n2,A\nn1,,A\nn2,n3,\n")

@@ -1,8 +1,9 @@
 """Indices, transactions, versions, locks, the mutation log and its stream."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.errors import Deadlock, InvalidOperation, NotFound, TransactionError
+from graphloom.errors import CorruptLog, Deadlock, InvalidOperation, NotFound, TransactionError
 from graphloom.model import Graph
 from graphloom.operators import index, mutate, mutation_log as L, mvcc
 from graphloom.streaming import replay
@@ -114,6 +115,23 @@ def test_log(spark, tmp_path):
         log.append(1, "nonsense")
 
 
+def test_log_reports_what_is_missing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = L.MutationLog(spark, path, segment_size=2)
+    assert log.verified().count() == 0
+    for i in range(6):
+        log.append(1, "insert_node", f"n{i}", ["P"])
+    assert log.verified().count() == 6
+    files = {r.lsn: r.f for r in log.read().select("lsn", F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("f")).collect()}
+    (tmp_path / "torn").write_bytes(open(files[5], "rb").read())
+    open(files[5], "wb").write(b"torn")
+    assert log.verified().count() == 4  # the tail
+    open(files[5], "wb").write((tmp_path / "torn").read_bytes())
+    open(files[2], "wb").write(b"torn")
+    with pytest.raises(CorruptLog, match="2 records missing and 0 repeated"):
+        log.verified()
+
+
 def test_stream(spark, tmp_path):
     path, target, state = (str(tmp_path / x) for x in ("log", "now", "state"))
     log = L.MutationLog(spark, path, segment_size=2)
@@ -127,3 +145,4 @@ def test_stream(spark, tmp_path):
     replay.maintain(replay.stream(spark, path, 1), target, state).awaitTermination()
     assert {r.entity: r.op for r in replay.current(spark, target).collect()}["n3"] == "delete_node"
     assert replay.current(spark, target + "x") is None
+    assert len(replay._complete(spark, target)) == replay.KEPT
